@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing, quality, sharding
+from tessera.llm import langid, packing, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_langid": langid.op4_langid,
         "op6_packing": packing.op6_packing,
         "op8_sharding": sharding.op8_sharding,
         "op9_quality": quality.op9_quality,
