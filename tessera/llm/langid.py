@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from tessera.llm import _arrays as A
 
 ORDER, TRAIN_BYTES, UNITS = 3, 1_500_000, 1024
-#: A text of more bits a byte than this in its best language is in none of the learned languages.
+#: A text of more bits a byte than this (less FREE_BITS for all) in its best language is in none of the learned languages.
 MAX_BITS = 7.5
+#: Bits that aren't counted there: a few letters say little about their language.
+FREE_BITS = 64
 
 
 def held_out() -> Column:
@@ -239,7 +241,7 @@ def _predict(shared, carry: bool):
                 best = code.argmin(1)
                 low = code[np.arange(n), best]
                 score = 1 / np.exp2(np.maximum((low[:, None] - code) / UNITS, -1000.0)).sum(1)
-                bits = low / UNITS / np.maximum(size, 1)
+                bits = np.maximum(low / UNITS - FREE_BITS, 0) / np.maximum(size, 1)
             else:
                 known, best, score, bits = np.zeros(n, bool), np.zeros(n, int), np.zeros(n), np.zeros(n)
             if carry:

@@ -19,13 +19,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import _arrays as A
-from tessera.llm._store import checkpoint, n_parts
+from tessera.llm._memo import Memo
+from tessera.llm._store import checkpoint
 
 CAPACITY, EOT = 4096, 1
 #: Pieces in a partition (bounds a task), rounds at most, and the free share of a bin that a certified partition may close.
@@ -34,7 +34,7 @@ PART_PIECES, ROUNDS, SLACK = 400_000, 4, 0.01
 CACHE_WORDS = 300_000
 
 
-class WordIds(dict):
+class WordIds(Memo):
     """Token ids, as little-endian bytes, of words without white space.
 
     The vocabulary's splitting never joins characters across ASCII white space, so a text's ids are those of
@@ -44,18 +44,12 @@ class WordIds(dict):
     def __init__(self, path: str, keep: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.rare = Tokenizer.from_file(path), keep, {}
+        super().__init__(keep)
+        self.tokenizer = Tokenizer.from_file(path)
+        self[""] = b""
 
-    def learn(self, words: set[str]) -> None:
-        self.rare = {}
-        fresh = [w for w in words if w not in self]
-        if not fresh:
-            return
-        for word, got in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            (self if len(self) < self.keep else self.rare)[word] = np.array(got.ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        return self.rare[word]
+    def encode_new(self, words: list[str]) -> list[bytes]:
+        return [np.array(got.ids, "<u4").tobytes() for got in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
 
 _ids: dict[str, WordIds] = {}
@@ -70,17 +64,14 @@ def pieces_of(path: str, capacity: int, eot: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids = _ids.setdefault(path, None) or WordIds(path)
-        _ids[path] = ids
+        ids = _ids[path] = _ids.get(path) or WordIds(path)
         end = np.array([eot], "<u4").tobytes()
         for unit in A.units(batches):
             split = [(t or "").translate(_SPACES).split(" ") for t in unit["text"].to_pylist()]
             seen: set[str] = set()
             for words in split:
                 seen.update(words)
-            seen.discard("")
             ids.learn(seen)
-            ids[""] = b""
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc, words in zip(unit["doc_id"].to_pylist(), split):
                 data = b"".join([ids[w] for w in words]) + end

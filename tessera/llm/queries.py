@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import langid, packing, quality, sharding
+from tessera.llm import langid, packing, pieces, quality, sharding, token_counts, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": token_counts.op1_token_counts,
+        "op2_pieces": pieces.op2_pieces,
+        "op3_topk": topk.op3_topk,
         "op4_langid": langid.op4_langid,
         "op6_packing": packing.op6_packing,
         "op8_sharding": sharding.op8_sharding,
@@ -19,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_sharding": sharding.oracle()}
+    return {"op3_topk": topk.ORACLE, "op8_sharding": sharding.oracle()}
