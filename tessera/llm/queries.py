@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import langid, packing, pieces, quality, sharding, token_counts, topk
+from tessera.llm import langid, near_dedup, packing, pieces, quality, sharding, token_counts, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_topk": topk.op3_topk,
         "op4_langid": langid.op4_langid,
         "op6_packing": packing.op6_packing,
+        "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_sharding": sharding.op8_sharding,
         "op9_quality": quality.op9_quality,
     }
