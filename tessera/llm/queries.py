@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import langid, near_dedup, packing, pieces, quality, sharding, token_counts, topk
+from tessera.llm import langid, near_dedup, packing, pieces, quality, recompression, sharding, token_counts, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_sharding": sharding.op8_sharding,
         "op9_quality": quality.op9_quality,
+        "op10_substring_dedup": recompression.op10_substring_dedup,
     }
 
 
