@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import langid, near_dedup, packing, pieces, quality, recompression, sharding, token_counts, topk
+from tessera.llm import langid, near_dedup, packing, pieces, quality, recompression, sharding, suffix_dedup, token_counts, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pieces": pieces.op2_pieces,
         "op3_topk": topk.op3_topk,
         "op4_langid": langid.op4_langid,
+        "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op6_packing": packing.op6_packing,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_sharding": sharding.op8_sharding,
