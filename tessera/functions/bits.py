@@ -21,7 +21,8 @@ def wrap(value: Column, bits: int) -> Column:
     if bits >= 63:
         v = value.cast(WIDE)
         return (F.pmod(v + _wide(half), _wide(full)) - _wide(half)).cast("long")
-    return F.pmod(value + F.lit(half), F.lit(full).cast("long")) - F.lit(half)
+    low = F.pmod(value, F.lit(full).cast("long"))  # adding half first could overflow
+    return F.when(low >= half, low - F.lit(full).cast("long")).otherwise(low)
 
 
 def unsigned(value: Column, bits: int) -> Column:

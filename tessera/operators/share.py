@@ -58,11 +58,11 @@ def share(table: FlagTable, seed: int = 0) -> tuple[DataFrame, DataFrame]:
 
 def reveal(first: DataFrame, second: DataFrame, table: FlagTable, remove_inactive: bool = True) -> FlagTable:
     """The table (whose schema is given by ``table``) that two shares stand for."""
-    a, b = first.alias("a"), second.alias("b")
-    both = a.join(b, F.col(f"a.{ROW_ID}") == F.col(f"b.{ROW_ID}"))
+    a, b = first.alias("__s0"), second.alias("__s1")
+    both = a.join(b, F.col(f"__s0.{ROW_ID}") == F.col(f"__s1.{ROW_ID}"))
     out = []
     for c in table.schema.columns:
-        x, y = F.col(f"a.{c.name}"), F.col(f"b.{c.name}")
+        x, y = F.col(f"__s0.{c.name}"), F.col(f"__s1.{c.name}")
         if c.kind == Kind.INT:
             v = x.bitwiseXOR(y)
         elif c.kind == Kind.BOOLEAN:
@@ -71,7 +71,7 @@ def reveal(first: DataFrame, second: DataFrame, table: FlagTable, remove_inactiv
             v = F.unhex(_xor_hex(F.hex(x), F.hex(y)))
             v = v.cast("string") if c.kind == Kind.STRING else v
         out.append(v.alias(c.name))
-    df = both.select(*out, F.col(f"a.{ROW_ID}").alias(ROW_ID), (F.col(f"a.{ACTIVE}") != F.col(f"b.{ACTIVE}")).alias(ACTIVE))
+    df = both.select(*out, F.col(f"__s0.{ROW_ID}").alias(ROW_ID), (F.col(f"__s0.{ACTIVE}") != F.col(f"__s1.{ACTIVE}")).alias(ACTIVE))
     return FlagTable(df.where(ACTIVE) if remove_inactive else df, table.schema)
 
 
