@@ -71,10 +71,10 @@ def line_spans(x: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     breaks = np.flatnonzero(x == 10)
     starts = np.unique(np.concatenate([off[:-1], breaks + 1]))
     starts = starts[starts < len(x)]
-    stops = np.unique(np.concatenate([off[1:], breaks]))
-    ends = stops[np.searchsorted(stops, starts)]
+    doc = A.owner(off, starts)
+    ends = np.minimum(np.append(breaks, len(x))[np.searchsorted(breaks, starts)], off[doc + 1])
     ok = ends > starts
-    return starts[ok], ends[ok], A.owner(off, starts[ok])
+    return starts[ok], ends[ok], doc[ok]
 
 
 def statistics(x: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
