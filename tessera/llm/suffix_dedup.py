@@ -15,9 +15,9 @@ then each bucket by the buckets that its members' later offsets are in, whose re
    member, by the number of the suffix at the offset that is already sorted. The smallest document of each final bucket
    decides over the others.
 
-A q-gram that more than ``HOT`` documents of one unit hold is a hot bucket: its strings travel one by one, by their own hash,
-so a bucket of any size is spread over many tasks. Texts that are equal as a whole are known by their digest; one
-of them takes part.
+A bucket of more than ``HOT`` snippets is hot: its strings go one by one, the smallest document of each is found by an
+aggregate (combined before the shuffle) and joined back, so a bucket of any size is spread over many tasks. Texts that are equal as a
+whole are known by their digest; one of them takes part.
 
 Defined cases: null is the empty text; texts under LENGTH bytes keep all; rows with one doc_id don't remove each
 other's bytes; a null doc_id counts as the largest; extra columns are ignored by the query and kept by the
@@ -39,8 +39,8 @@ from tessera.llm._exchange import NULL_ID, SHORT, keyed, shared_names
 from tessera.llm._store import checkpoint, drop, free, n_parts, text_bytes
 
 LENGTH, Q = 50, 32
-#: Documents of a unit that make a q-gram hot; bytes of text for each part of the name space; snippets of a refinement task.
-HOT, PART_BYTES, TASK_SNIPPETS = 64, 16 << 20, 60_000
+#: Snippets over which a q-gram's bucket is hot; bytes of text for each part of the name space; snippets of a refinement task.
+HOT, PART_BYTES, TASK_SNIPPETS = 20_000, 16 << 20, 60_000
 
 
 def gram_names(x: np.ndarray, q: int = Q) -> np.ndarray:
@@ -155,17 +155,6 @@ def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(name):
             continue
         ids = unit["dk"].to_numpy()
-        # hot buckets: one string at a time, under its own hash
-        order = np.lexsort((doc, name))
-        new = np.ones(len(order), bool)
-        new[1:] = (name[order][1:] != name[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-        _, code = np.unique(name, return_inverse=True)
-        hot = np.bincount(code[order][new], minlength=code.max() + 1)[code] > HOT
-        if hot.any():
-            size = (last - first + 1)[hot]
-            s = np.repeat(first[hot] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            n2 = A.word_names(x, s, s + LENGTH, 1)
-            name, first, last, doc = (np.concatenate([u[~hot], v]) for u, v in ((name, n2), (first, s), (last, s), (doc, np.repeat(doc[hot], size))))
         # equal snippets of the unit: the smallest document's goes on
         end = last + LENGTH
         same = A.pair_names(name, A.word_names(x, first, end, 1))
@@ -191,6 +180,23 @@ def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every string of hot snippets at each of its places: (dk, th, start, string)."""
+    for b in batches:
+        for dk, th, start, n, data, places in zip(*(b.column(k).to_pylist() for k in range(6))):
+            pairs = np.frombuffer(places, "<i8").reshape(-1, 2) if places else np.array([[start, 1]])
+            first = np.repeat(pairs[:, 0], pairs[:, 1]) + np.arange(int(pairs[:, 1].sum())) - np.repeat(np.cumsum(pairs[:, 1]) - pairs[:, 1], pairs[:, 1])
+            m = n * len(first)
+            yield pa.record_batch([pa.array([dk] * m, pa.int64()), pa.array([th] * m, pa.binary()), pa.array((first[:, None] + np.arange(n)).reshape(-1)), pa.array([data[j : j + LENGTH] for j in range(n)] * len(first), pa.binary())], names=["dk", "th", "start", "string"])
+
+
+def _hot_spans(rows: DataFrame) -> DataFrame:
+    """What a smaller document holds of hot buckets' strings; each string's smallest document is found before the shuffle."""
+    strings = rows.select("dk", "th", "start", "n", "snippet", "places").mapInArrow(_strings, "dk long, th binary, start long, string binary")
+    low = strings.groupBy("string").agg(F.min("dk").alias("low"))
+    return strings.join(low, "string").where("low < dk").select("dk", "th", "start", F.lit(1).cast("long").alias("n"))
+
+
 def _refined(table: pa.Table) -> pa.Table:
     """Of the snippets of some buckets: the runs of strings (dk, th, start, n) that a smaller document holds too."""
     x, off = A.text_bytes(pa.chunked_array([c.cast(pa.large_binary()) for c in table["snippet"].chunks]))
@@ -300,9 +306,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     free(spark)
     todo = snippets.where("snippet is not null")
     tasks = n_parts(todo.count(), TASK_SNIPPETS, 8)
+    hot = checkpoint(todo.groupBy("key").count().where(F.col("count") > HOT).select("key"), "hot")
+    hot_spans = None if hot.isEmpty() else _hot_spans(todo.join(hot, "key", "left_semi"))
+    todo = todo if hot_spans is None else todo.join(hot, "key", "left_anti")
     todo = todo.withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks)))
     refined = todo.groupBy("task").applyInArrow(_refined, "dk long, th binary, start long, n long")
     spans = refined.unionByName(snippets.where("snippet is null").select("dk", "th", "start", F.col("n").cast("long")))
+    spans = spans if hot_spans is None else spans.unionByName(hot_spans)
     spans = spans.withColumn("task", F.pmod(F.xxhash64("dk", "th"), F.lit(tasks)))
     spans = checkpoint(spans.groupBy("task").applyInArrow(_spans, "dk long, th binary, spans binary"), "spans")
     drop(snippets)
