@@ -204,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
     marks = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col(label).cast("double")).alias("y")).where("y is not null")
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(marks), "doc_id").select("y", "text")
-    got = rows.mapInArrow(_labelled, "y double, x array<double>").toArrow() if hasattr(rows, "toArrow") else None
+    got = rows.mapInArrow(_labelled, "y double, x array<double>").toArrow()
     y = got["y"].to_numpy()
     x = np.array(got["x"].to_pylist()).reshape(len(y), len(FEATURES))
     order = np.lexsort((*x.T, y))

@@ -25,4 +25,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": topk.ORACLE, "op8_sharding": sharding.oracle()}
+    return {
+        "op3_topk": topk.ORACLE,
+        "op5_suffix_dedup": suffix_dedup.ORACLE,
+        "op7_near_dedup": near_dedup.ORACLE,
+        "op8_sharding": sharding.oracle(),
+        "op10_substring_dedup": recompression.ORACLE,
+    }

@@ -208,3 +208,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The contract in SQL: all windows of all documents, grouped by their words.
+ORACLE = f"""WITH w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+k AS (SELECT rid, [md5(array_to_string(w[j:j + {WINDOW - 1}], ' ')) for j in range(1, len(w) - {WINDOW - 2})] AS k FROM w WHERE len(w) >= {WINDOW}),
+v AS (SELECT rid, unnest(k) AS k, generate_subscripts(k, 1) AS i FROM k),
+d AS (SELECT rid, i FROM (SELECT rid, i, COUNT(*) OVER (PARTITION BY k) AS c FROM v) WHERE c > 1),
+g AS (SELECT DISTINCT rid, i + o AS j FROM d, range(0, {WINDOW}) t(o)),
+x AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM w),
+y AS (SELECT x.rid, COUNT(*) AS n, string_agg(word, ' ' ORDER BY x.j) AS kept FROM x LEFT JOIN g ON x.rid = g.rid AND x.j = g.j WHERE g.j IS NULL GROUP BY x.rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - COALESCE(n, 0) AS BIGINT) AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256 FROM w LEFT JOIN y ON w.rid = y.rid"""

@@ -340,3 +340,16 @@ def trim(docs: DataFrame) -> DataFrame:
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The contract in SQL: all byte strings (in hex) of all documents, grouped by their bytes.
+ORACLE = f"""WITH h AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(COALESCE(text, ''))) AS h FROM documents),
+k AS (SELECT rid, doc_id, [md5(substr(h, 2 * i + 1, {2 * LENGTH})) for i in range(0, length(h) // 2 - {LENGTH - 1})] AS k FROM h WHERE length(h) >= {2 * LENGTH}),
+v AS (SELECT rid, doc_id, unnest(k) AS k, generate_subscripts(k, 1) - 1 AS i FROM k),
+d AS (SELECT rid, i FROM (SELECT rid, i, doc_id, MIN(doc_id) OVER (PARTITION BY k) AS low FROM v) WHERE low < doc_id),
+g AS (SELECT DISTINCT rid, i + o AS j FROM d, range(0, {LENGTH}) t(o)),
+c AS (SELECT a.rid, COUNT(*) AS n, SUM(CASE WHEN b.j IS NULL THEN 1 ELSE 0 END) AS spans FROM g a LEFT JOIN g b ON a.rid = b.rid AND a.j = b.j + 1 GROUP BY a.rid),
+x AS (SELECT rid, unnest([substr(h, 2 * i + 1, 2) for i in range(0, length(h) // 2)]) AS byte, unnest(range(0, length(h) // 2)) AS j FROM h),
+y AS (SELECT x.rid, string_agg(byte, '' ORDER BY x.j) AS kept FROM x LEFT JOIN g ON x.rid = g.rid AND x.j = g.j WHERE g.j IS NULL GROUP BY x.rid)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(COALESCE(n, 0) AS BIGINT) AS n_removed, CAST(COALESCE(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(COALESCE(kept, ''))) AS kept_sha256
+FROM h LEFT JOIN c ON h.rid = c.rid LEFT JOIN y ON h.rid = y.rid"""
