@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import _arrays as A
 from tessera.llm._exchange import NULL_ID, SHORT, keyed, shared_names
-from tessera.llm._store import checkpoint, drop, free, n_parts, text_bytes
+from tessera.llm._store import checkpoint, drop, n_parts, text_bytes
 
 WINDOW, CAP, PAIR_ROUNDS = 35, 4, 2
 #: Words at either end of a window where its parse may depend on what stands outside.
@@ -194,12 +194,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     ids = checkpoint(rows.select("dk", "th"), "texts")
     classes = ids.groupBy("th").agg(F.min("dk").alias("rep"), (F.count("*") > 1).alias("copied"))
     found = checkpoint(shared_names(rows, _anchor_names(window), parts, True, True), "anchors")
-    free(spark)
     reps = found.join(classes.select("th", F.col("rep").alias("dk")), ["dk", "th"], "left_semi")
     some = rows.join(reps, ["dk", "th"])
     windows = checkpoint(shared_names(some, _window_names(window), parts, False, True), "windows")
     drop(found)
-    free(spark)
     marks = ids.distinct().join(classes.select("th", "copied"), "th").join(windows, ["dk", "th"], "left").where("copied or names is not null")
     full = rows.join(marks, ["dk", "th"], "left").select("dk", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "names", "more")
     out = full.mapInArrow(_removed(window), "dk long, n_words long, n_removed long, kept_sha256 string")

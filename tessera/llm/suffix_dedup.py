@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import _arrays as A
 from tessera.llm._exchange import NULL_ID, SHORT, keyed, shared_names
-from tessera.llm._store import checkpoint, drop, free, n_parts, text_bytes
+from tessera.llm._store import checkpoint, drop, n_parts, text_bytes
 
 LENGTH, Q = 50, 32
 #: Snippets over which a q-gram's bucket is hot; bytes of text for each part of the name space; snippets of a refinement task.
@@ -298,12 +298,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     ids = checkpoint(rows.select("dk", "th"), "texts")
     classes = ids.groupBy("th").agg(F.min("dk").alias("rep"))
     found = checkpoint(shared_names(rows, _grams, n_parts(size, PART_BYTES, 8), True, False), "grams")
-    free(spark)
     reps = found.join(classes.select("th", F.col("rep").alias("dk")), ["dk", "th"], "left_semi").select("dk", "th", "names")
     some = rows.join(reps, ["dk", "th"])
     snippets = checkpoint(some.mapInArrow(_snippets, "dk long, th binary, start long, n int, key long, snippet binary, places binary"), "snippets")
     drop(found)
-    free(spark)
     todo = snippets.where("snippet is not null")
     tasks = n_parts(todo.count(), TASK_SNIPPETS, 8)
     hot = checkpoint(todo.groupBy("key").count().where(F.col("count") > HOT).select("key"), "hot")
@@ -316,7 +314,6 @@ def repeats(docs: DataFrame) -> DataFrame:
     spans = spans.withColumn("task", F.pmod(F.xxhash64("dk", "th"), F.lit(tasks)))
     spans = checkpoint(spans.groupBy("task").applyInArrow(_spans, "dk long, th binary, spans binary"), "spans")
     drop(snippets)
-    free(spark)
     copied = ids.distinct().join(classes, "th").where("dk > rep").select("dk", "th", F.lit(True).alias("copied"))
     return spans.join(copied, ["dk", "th"], "full").withColumn("copied", F.coalesce("copied", F.lit(False)))
 
