@@ -55,3 +55,15 @@ def bit_segments_scan(df: DataFrame, bits: Column, row_id: str, value: Column, o
     """A segmented scan where control bits delimit the segments."""
     rows = segment_ids(df, bits, row_id, "__seg")
     return segmented_scan(rows, "__seg", row_id, value, op, direction, name).drop("__seg")
+
+
+def prefix_sum_by_ranges(df: DataFrame, key: str, row_id: str, value: Column, name: str = "y") -> DataFrame:
+    """The segmented prefix sum of a long where one key may hold a large share of all rows.
+
+    A running sum over the order (key, row_id), dealt by ranges, less what it was before the key's first row; so a key's rows may lie in
+    many tasks. The whole column's sum must fit a long.
+    """
+    rows = running_sum(df.withColumn("__x", value.cast("long")), F.col("__x"), [key, row_id], "__run")
+    before = rows.groupBy(key).agg(F.min_by(F.col("__run") - F.col("__x"), row_id).alias("__before"))
+    hit = rows.join(before, rows[key].eqNullSafe(before[key])).drop(before[key])
+    return hit.withColumn(name, F.col("__run") - F.col("__before")).drop("__run", "__before", "__x")
