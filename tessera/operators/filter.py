@@ -26,7 +26,7 @@ def predicate(table: FlagTable, pred: Predicate, inputs: Sequence[str] | None =
 
 def where(table: FlagTable, pred: Predicate, compact: bool = False, inputs: Sequence[str] | None = None) -> FlagTable:
     """Rows count if they did and the predicate holds; a null result doesn't. Compact filters reach the scan."""
-    holds = F.coalesce(predicate(table, pred, inputs), F.lit(False))
-    if compact:
+    holds = predicate(table, pred, inputs)
+    if compact:  # a filter drops null results itself; wrapping them would keep it from the scan
         return table.with_df(table.df.where(F.col(ACTIVE) & holds))
-    return table.with_df(table.df.withColumn(ACTIVE, F.col(ACTIVE) & holds))
+    return table.with_df(table.df.withColumn(ACTIVE, F.col(ACTIVE) & F.coalesce(holds, F.lit(False))))
