@@ -272,9 +272,10 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """The rows of one document of each component, with all their columns."""
-    found = checkpoint(near_duplicates(docs, rule).where("kept").select("doc_id").distinct(), "kept")
-    return docs.join(found.withColumnRenamed("doc_id", "__id"), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of one document of each component, with all their columns. Those that go are fewer than those that stay, so they are joined."""
+    found = near_duplicates(docs, rule).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = checkpoint(found.where("not kept").select(F.col("doc_id").alias("__id")), "gone")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
 
 
 #: The contract of op7: three words, 0.85.
