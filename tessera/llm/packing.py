@@ -16,6 +16,7 @@ full pieces and a rest; repeated rows are packed once each; an empty table gives
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,17 @@ CAPACITY, EOT = 4096, 1
 #: Pieces in a partition (bounds a task), rounds at most, and the free share of a bin that a certified partition may close.
 PART_PIECES, ROUNDS, SLACK = 400_000, 4, 0.01
 #: Words whose ids a worker keeps; beyond it, rarer words are encoded once a unit.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
+
+
+#: Marks that may end a word, and ASCII white space.
+MARKS = ".,!?;:|&%$*#"
+#: Letters under this code point fold and compose one by one (but for U+0130).
+LATIN_END = "\u0250"
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The vocabulary's spelling of a byte: printable ones are themselves, the others in turn from 256 on.
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
 
 class WordIds(Memo):
@@ -46,15 +57,49 @@ class WordIds(Memo):
 
         super().__init__(keep)
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.tails: dict[str, bytes] = {}
         self[""] = b""
 
     def encode_new(self, words: list[str]) -> list[bytes]:
-        return [np.array(got.ids, "<u4").tobytes() for got in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [array("I", got.ids).tobytes() for got in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(self, words: set[str]) -> None:
+        """The vocabulary splits a word before marks that end it; Latin letters alone are one input of its merging model, in small letters."""
+        rare: dict[str, bytes] = {}
+        get, tokenize, other = self.get, self.model.tokenize, []
+        for w in words:
+            if w in self:
+                continue
+            stem = w.rstrip(MARKS)
+            plain = stem.isascii()
+            if not stem.isalpha() or not plain and (max(stem) >= LATIN_END or "\u0130" in stem):
+                other.append(w)
+                continue
+            key = stem.lower()
+            got = get(key) or rare.get(key)
+            if got is None:
+                got = array("I", [t.id for t in tokenize(key if plain else key.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+                (self if len(self) < self.keep else rare)[key] = got
+            if stem != w:
+                tail = w[len(stem) :]
+                if tail not in self.tails:
+                    self.tails[tail] = self.encode_new([tail])[0]
+                got += self.tails[tail]
+            if w != key:
+                (self if len(self) < self.keep else rare)[w] = got
+        rare.update(zip(other, self.encode_new(other)))
+        self.rare = rare
+
+
+def words_of(text: str | None) -> list[str]:
+    """A text's parts between white space. str.split also cuts at four control characters that the vocabulary keeps."""
+    if not text:
+        return []
+    return text.translate(_SPACES).split(" ") if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
 
 _ids: dict[str, WordIds] = {}
-#: ASCII white space only: what a text is split at may only be characters that the vocabulary drops.
-_SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
 
 def pieces_of(path: str, capacity: int, eot: int):
@@ -67,14 +112,14 @@ def pieces_of(path: str, capacity: int, eot: int):
         ids = _ids[path] = _ids.get(path) or WordIds(path)
         end = np.array([eot], "<u4").tobytes()
         for unit in A.units(batches):
-            split = [(t or "").translate(_SPACES).split(" ") for t in unit["text"].to_pylist()]
+            split = [words_of(t) for t in unit["text"].to_pylist()]
             seen: set[str] = set()
             for words in split:
                 seen.update(words)
             ids.learn(seen)
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc, words in zip(unit["doc_id"].to_pylist(), split):
-                data = b"".join([ids[w] for w in words]) + end
+                data = b"".join(map(ids.__getitem__, words)) + end
                 n = len(data) // 4
                 for k, at in enumerate(range(0, n, capacity)):
                     to = min(n, at + capacity)
