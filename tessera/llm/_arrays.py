@@ -155,11 +155,12 @@ def window_names(h: np.ndarray, k: int) -> np.ndarray:
 
 def sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
     """For each window of w values the offset of its leftmost least value."""
-    size, low, at = 1, h, np.zeros(len(h), np.int32)
+    kind = np.uint8 if w < 256 else np.int32
+    size, low, at = 1, h, np.zeros(len(h), kind)
     while size < w:
         step = min(size, w - size)
         less = low[step:] < low[:-step]
-        at = np.where(less, at[step:] + np.int32(step), at[:-step])
+        at = np.where(less, at[step:] + kind(step), at[:-step])
         low = np.where(less, low[step:], low[:-step])
         size += step
     return at

@@ -40,7 +40,7 @@ from tessera.llm._store import checkpoint, drop, n_parts, text_bytes
 
 LENGTH, Q = 50, 32
 #: Snippets over which a q-gram's bucket is hot; bytes of text for each part of the name space; snippets of a refinement task.
-HOT, PART_BYTES, TASK_SNIPPETS = 20_000, 16 << 20, 60_000
+HOT, PART_BYTES, TASK_SNIPPETS = 20_000, 16 << 20, 8_000
 
 
 def gram_names(x: np.ndarray, q: int = Q) -> np.ndarray:
@@ -183,11 +183,25 @@ def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every string of hot snippets at each of its places: (dk, th, start, string)."""
     for b in batches:
-        for dk, th, start, n, data, places in zip(*(b.column(k).to_pylist() for k in range(6))):
-            pairs = np.frombuffer(places, "<i8").reshape(-1, 2) if places else np.array([[start, 1]])
-            first = np.repeat(pairs[:, 0], pairs[:, 1]) + np.arange(int(pairs[:, 1].sum())) - np.repeat(np.cumsum(pairs[:, 1]) - pairs[:, 1], pairs[:, 1])
-            m = n * len(first)
-            yield pa.record_batch([pa.array([dk] * m, pa.int64()), pa.array([th] * m, pa.binary()), pa.array((first[:, None] + np.arange(n)).reshape(-1)), pa.array([data[j : j + LENGTH] for j in range(n)] * len(first), pa.binary())], names=["dk", "th", "start", "string"])
+        dk, th, start, n, snippet, places = b.columns
+        x, off = A.text_bytes(snippet.cast(pa.large_binary()))
+        n = n.to_numpy().astype(np.int64)
+        row, first = np.arange(len(n)), start.to_numpy().astype(np.int64)
+        many = np.flatnonzero(places.is_valid().to_numpy(zero_copy_only=False))
+        if len(many):  # all places of these; the others have one
+            pairs = [np.frombuffer(p, "<i8").reshape(-1, 2) for p in places.take(pa.array(many)).to_pylist()]
+            each = [np.repeat(q[:, 0] - (np.cumsum(q[:, 1]) - q[:, 1]), q[:, 1]) + np.arange(int(q[:, 1].sum())) for q in pairs]
+            one = np.setdiff1d(row, many)
+            row, first = np.concatenate([one, *(np.full(len(f), r) for r, f in zip(many, each))]), np.concatenate([first[one], *each])
+        size = n[row]
+        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        row, first = np.repeat(row, size), np.repeat(first, size) + place
+        for i in range(0, len(row), 100_000):
+            r, p = row[i : i + 100_000], place[i : i + 100_000]
+            data = x[(off[:-1][r] + p)[:, None] + np.arange(LENGTH)].tobytes()
+            cuts = (np.arange(len(r) + 1) * LENGTH).astype(np.int32)
+            string = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(data)])
+            yield pa.record_batch([dk.take(pa.array(r)), th.take(pa.array(r)), pa.array(first[i : i + 100_000]), string], names=["dk", "th", "start", "string"])
 
 
 def _hot_spans(rows: DataFrame) -> DataFrame:
@@ -199,15 +213,21 @@ def _hot_spans(rows: DataFrame) -> DataFrame:
 
 def _refined(table: pa.Table) -> pa.Table:
     """Of the snippets of some buckets: the runs of strings (dk, th, start, n) that a smaller document holds too."""
-    x, off = A.text_bytes(pa.chunked_array([c.cast(pa.large_binary()) for c in table["snippet"].chunks]))
+    coded = table["snippet"].combine_chunks().dictionary_encode()  # equal snippets are sorted once
+    code = coded.indices.to_numpy().astype(np.int64)
+    x, off = A.text_bytes(coded.dictionary.cast(pa.large_binary()))
+    strings = np.diff(off) - LENGTH + 1
+    base = np.cumsum(strings) - strings
+    own = np.repeat(np.arange(len(strings)), strings)
+    bucket = suffix_buckets(x, off[:-1][own] + np.arange(len(own)) - base[own])
     dk, n = table["dk"].to_numpy().astype(np.int64), table["n"].to_numpy().astype(np.int64)
-    # equal snippets are sorted once
+    least = np.full(len(strings), NULL_ID, np.int64)
+    np.minimum.at(least, code, dk)
+    low = np.full(int(bucket.max()) + 1, NULL_ID, np.int64)
+    np.minimum.at(low, bucket, least[own])
     row = np.repeat(np.arange(len(n)), n)
     place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    bucket = suffix_buckets(x, off[:-1][row] + place)
-    low = np.full(int(bucket.max()) + 1, NULL_ID, np.int64)
-    np.minimum.at(low, bucket, dk[row])
-    hit = low[bucket] < dk[row]
+    hit = low[bucket[base[code[row]] + place]] < dk[row]
     row, place = row[hit], place[hit]
     head = np.ones(len(row), bool)
     head[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
