@@ -16,8 +16,8 @@
    of copies cost about as much as their members.
 
 Defined cases: null, empty and blank texts have no set and are linked with nothing; a text with fewer words than a
-shingle is one element; rows with one doc_id are one document; a null doc_id counts as the largest; extra
-columns are ignored by the query and kept by the pipeline stage.
+shingle is one element; rows with one doc_id are one document of the query (the pipeline stage compares their texts); a null
+doc_id counts as the largest; extra columns are ignored by the query and kept by the pipeline stage.
 """
 
 from __future__ import annotations
@@ -272,10 +272,22 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """The rows of one document of each component, with all their columns. Those that go are fewer than those that stay, so they are joined."""
-    found = near_duplicates(docs, rule).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    gone = checkpoint(found.where("not kept").select(F.col("doc_id").alias("__id")), "gone")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    """One row of each component, with all its columns: that of the smallest doc_id, among its texts that of the smallest name.
+
+    Here a document is a doc_id with a text, and texts are linked by their content alone: rows that share a doc_id, or have none,
+    are compared like all others. Rows whose text has no set stay. Those that go are fewer than those that stay, so they are joined.
+    """
+    dk, name = F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)), F.xxhash64(docs["text"].cast("string"))
+    found = near_duplicates(docs.select(name.alias("doc_id"), "text"), rule).where("n_shingles > 0")
+    found = found.groupBy(F.col("doc_id").alias("__name")).agg(F.min("component_id").alias("c"))
+    rows = docs.select(dk.alias("__dk"), name.alias("__name")).groupBy("__dk", "__name").agg(F.count("*").alias("n")).join(found, "__name")
+    rows = rows.withColumn("at", F.struct("__dk", "__name"))
+    rows = rows.join(rows.groupBy("c").agg(F.min("at").alias("first")), "c").withColumn("goes", F.col("at") != F.col("first"))
+    marks = checkpoint(rows.where("goes or n > 1").select("__dk", "__name", "goes"), "gone")
+    on = (dk == marks["__dk"]) & (name == marks["__name"])
+    kept = docs.join(marks, on, "left_anti")
+    again = marks.where("not goes")  # first of their component, but in several equal rows
+    return kept if again.isEmpty() else kept.unionByName(docs.join(again, on, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 #: The contract of op7: three words, 0.85.

@@ -558,6 +558,17 @@ def test_keep_first_and_empty(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_keep_first_compares_texts_not_ids(spark):
+    clean = [f"w{k} of its own kind and of no other {k}" for k in range(9)]
+    copy = "this one is found again under a number and without one"
+    rows = [(5, copy), (None, copy), (None, clean[0]), (None, clean[1]), (7, clean[2]), (7, clean[3]), (7, copy.upper())]
+    rows += [(None, clean[4])] * 2 + [(8, clean[5])] * 3 + [(None, clean[6]), (9, clean[6] + "\n"), (None, None), (None, None), (8, " ")]
+    docs = plain(spark, rows)
+    kept = near_dedup.keep_first(docs)
+    expect = [(5, copy), (None, clean[0]), (None, clean[1]), (7, clean[2]), (7, clean[3]), (None, clean[4]), (8, clean[5]), (9, clean[6] + "\n"), (None, None), (None, None), (8, " ")]
+    assert kept.columns == docs.columns and collected(kept.select("doc_id", "text")) == sorted(expect, key=str)
+
+
 def test_sketches_estimate_and_merge():
     r = np.random.default_rng(8)
     errors = []
