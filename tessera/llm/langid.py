@@ -9,7 +9,8 @@ exact in any order. The language with the shortest code wins (ties: the smaller
 
 Before counting and coding, capitals of ASCII and Latin-1 letters are folded to small ones.
 
-Training uses at most about ``TRAIN_BYTES`` bytes for each language: whole documents of the smallest hashed ids.
+Training uses about ``TRAIN_BYTES`` bytes for each language: whole documents in the order of a hash of id and text, to the one that
+crosses the bound, which is included; a language with less is used whole.
 Only text and language of documents outside the held-out third are read for it.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; without any training document all
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from tessera.llm import _arrays as A
 
 ORDER, TRAIN_BYTES, UNITS = 3, 1_500_000, 1024
+HASH_BITS = 56
 #: A text of more bits a byte than this (less FREE_BITS for all) in its best language is in none of the learned languages.
 MAX_BITS = 7.5
 #: Bits that aren't counted there: a few letters say little about their language.
@@ -186,34 +188,55 @@ class Coder:
         return out
 
 
+def _limits(known: DataFrame, bound: int) -> dict[str, int]:
+    """The hash up to which a language's texts are pulled: those reach ``bound`` bytes, or are all.
+
+    Each pass sums bytes by the next 8 bits of the hash, inside the bin in which the sum reaches the bound, until that bin is one
+    hash or the sum with it is at most twice the bound.
+    """
+    limits: dict[str, int] = {}
+    under: dict[str, int] = {}
+    inside: dict[str, int] = {}
+    for step in range(HASH_BITS - 8, -1, -8):
+        rows = known
+        if inside:
+            spans = known.sparkSession.createDataFrame(list(inside.items()), "lang string, inside long")
+            rows = known.join(F.broadcast(spans), "lang").where(F.shiftright("h", step + 8) == F.col("inside"))
+        sums = rows.groupBy("lang", F.shiftright("h", step).alias("bin")).agg(F.sum("b").alias("b"), F.min("h").alias("least"), F.max("h").alias("most"))
+        inside = {}
+        for r in sorted(sums.collect(), key=lambda r: (r["lang"], r["bin"])):
+            lang, before = r["lang"], under.get(r["lang"], 0)
+            if lang in inside or (before >= bound and lang in limits):
+                continue
+            limits[lang] = r["most"]
+            if before + r["b"] > 2 * bound and r["least"] < r["most"]:
+                inside[lang] = r["bin"]
+            else:
+                under[lang] = before + r["b"]
+        if not inside:
+            break
+    return limits
+
+
 def _sample(docs: DataFrame, bound: int) -> dict[str, list[bytes]]:
-    """About ``bound`` bytes of whole texts for each language, by the smallest hashed ids; two aggregated passes."""
-    h = F.xxhash64("doc_id").bitwiseAND(F.lit(2**62 - 1))
-    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"), h.alias("h"))
-    size = known.groupBy("lang", F.floor(F.log2(F.col("h") + 1)).alias("c")).agg(F.sum(F.octet_length("text")).alias("b"))
-    by: dict[str, dict[int, int]] = {}
-    for r in size.collect():
-        by.setdefault(r["lang"], {})[r["c"]] = r["b"]
-    limits = []
-    for lang, classes in by.items():
-        sum_b, limit = 0, 2**62
-        for c in range(63):
-            b = classes.get(c, 0)
-            if sum_b + b > bound:
-                limit = int(2**c * (1 + max(0, bound - sum_b) / b)) + 1
-                break
-            sum_b += b
-        limits.append((lang, limit))
+    """Whole texts of each language in the order of their hashes, to the one by which they reach ``bound`` bytes; equal rows count each."""
+    text = F.col("text").cast("string")
+    h = F.xxhash64("doc_id", text).bitwiseAND(F.lit(2**HASH_BITS - 1))
+    known = docs.where(~held_out() & F.col("lang").isNotNull() & (F.octet_length(text) > 0)).select(F.col("lang").cast("string"), text.alias("text"), h.alias("h"), F.octet_length(text).alias("b"))
+    limits = _limits(known.drop("text"), bound)
     if not limits:
         return {}
-    rule = F.lit(False)
-    for lang, limit in limits:
-        rule = rule | ((F.col("lang") == lang) & (F.col("h") < limit))
+    spans = known.sparkSession.createDataFrame(list(limits.items()), "lang string, most long")
+    pulled = known.join(F.broadcast(spans), "lang").where("h <= most").groupBy("lang", "h", "text").count()
     out: dict[str, list[bytes]] = {}
-    for r in known.where(rule).sort("h", "text").collect():
-        got = out.setdefault(r["lang"], [])
-        if not got or sum(map(len, got)) < bound:
-            got.append(r["text"].encode())
+    size: dict[str, int] = {}
+    for r in sorted(pulled.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
+        got, data = out.setdefault(r["lang"], []), r["text"].encode()
+        room = bound - size.get(r["lang"], 0)
+        if room > 0:
+            copies = min(r["count"], -(-room // len(data)))
+            got.extend([data] * copies)
+            size[r["lang"]] = bound - room + copies * len(data)
     return out
 
 

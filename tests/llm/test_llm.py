@@ -305,6 +305,19 @@ def test_language_corner_cases(spark):
     assert langid.fit(docs.limit(0)) is None
 
 
+def test_language_sample_reaches_its_bound(spark):
+    outside = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, f"{i} " + "long " * 4000, f"one{i}") for i in outside[:20]]  # each the only text of its language
+    rows += [(i, f"{i} ".ljust(100, "m"), "many") for i in outside] + [(i, f"{i} ".ljust(9000, "l"), "many") for i in outside[:5]]
+    rows += [(None, f"{i} ".ljust(1000, "n"), "null") for i in range(30)] + [(outside[0], "same " * 100, "same")] * 40 + [(outside[0], "s", "short"), (outside[0], "", "none")]
+    got = langid._sample(frame(spark, rows), 3000)
+    sizes = {l: [len(t) for t in texts] for l, texts in got.items()}
+    assert set(sizes) == {l for _, _, l in rows} - {"none"} and sizes["short"] == [1]
+    for l, s in sizes.items():  # whole texts up to the one that crosses the bound
+        assert sum(s) == sum(len(t) for _, t, k in rows if k == l) or sum(s[:-1]) < 3000 <= sum(s), l
+    assert len(sizes["null"]) == 3 and sizes["same"] == [500] * 6
+
+
 # quality
 
 
