@@ -8,8 +8,8 @@ then each bucket by the buckets that its members' later offsets are in, whose re
    q-grams at equal places, so the bucket of a string is that of its named q-gram. One packed exchange tells every
    document which of its q-grams other texts hold too. Only strings in such buckets can repeat.
 2. *Snippets.* The strings that name one place of a document are consecutive; the bytes they cover are a
-   snippet. Of equal snippets within a unit only the smallest document's goes on; for the others all
-   strings are known to repeat.
+   snippet. Of equal snippets within a unit only those of the smallest doc_id go on, one for each of its texts; for the others
+   all strings are known to repeat.
 3. *Refinement.* Snippets meet by their q-gram's hash, many buckets to a task. All their suffixes get bucket numbers
    for 8 bytes; numbers for 16, 32 and LENGTH bytes come from sorting, within buckets of more than one
    member, by the number of the suffix at the offset that is already sorted. The smallest document of each final bucket
@@ -155,27 +155,31 @@ def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(name):
             continue
         ids = unit["dk"].to_numpy()
-        # equal snippets of the unit: the smallest document's goes on
+        # equal snippets of the unit: those of the smallest id go on, one for each text with that id
         end = last + LENGTH
         same = A.pair_names(name, A.word_names(x, first, end, 1))
-        order = np.lexsort((first, ids[doc], same))
+        th = unit["th"].combine_chunks()
+        text = th.dictionary_encode().indices.to_numpy()[doc]
+        order = np.lexsort((first, doc, text, ids[doc], same))
         head = np.ones(len(order), bool)
         head[1:] = same[order][1:] != same[order][:-1]
         at = np.flatnonzero(head)
         low = ids[doc[order[at]]][np.cumsum(head) - 1]
-        sent, later = order[head], order[ids[doc[order]] > low]
-        again = order[~head & (doc[order] == doc[order[at]][np.cumsum(head) - 1])]  # more places in that document
+        later, least = order[ids[doc[order]] > low], order[ids[doc[order]] == low]
+        new = np.ones(len(least), bool)
+        new[1:] = (same[least][1:] != same[least][:-1]) | (text[least][1:] != text[least][:-1])
+        sent, group = least[new], np.cumsum(new) - 1
+        rest = ~new & (doc[least] == doc[sent][group])  # more places in that row
+        again, group = least[rest], group[rest]
         more: list[bytes | None] = [None] * len(sent)
-        if len(again):
-            group = np.cumsum(head)[np.isin(order, again)] - 1
-            for a, b in _slices(group):
-                g = int(group[a])
-                more[g] = _runs(np.concatenate([first[sent[g : g + 1]], first[again[a:b]]]) - off[doc[sent[g]]]).tobytes()
+        for a, b in _slices(group):
+            g = int(group[a])
+            more[g] = _runs(np.concatenate([first[sent[g : g + 1]], first[again[a:b]]]) - off[doc[sent[g]]]).tobytes()
         data = x.tobytes()
         rows = np.concatenate([sent, later])
-        text = [data[a:b] for a, b in zip(first[sent].tolist(), end[sent].tolist())] + [None] * len(later)
+        snippet = [data[a:b] for a, b in zip(first[sent].tolist(), end[sent].tolist())] + [None] * len(later)
         yield pa.record_batch(
-            [pa.array(ids[doc[rows]]), unit["th"].combine_chunks().take(pa.array(doc[rows])), pa.array(first[rows] - off[doc[rows]]), pa.array((last - first + 1)[rows].astype(np.int32)), pa.array(name[rows].view(np.int64)), pa.array(text, pa.binary()), pa.array(more + [None] * len(later), pa.binary())],
+            [pa.array(ids[doc[rows]]), th.take(pa.array(doc[rows])), pa.array(first[rows] - off[doc[rows]]), pa.array((last - first + 1)[rows].astype(np.int32)), pa.array(name[rows].view(np.int64)), pa.array(snippet, pa.binary()), pa.array(more + [None] * len(later), pa.binary())],
             names=["dk", "th", "start", "n", "key", "snippet", "places"],
         )
 

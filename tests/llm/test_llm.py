@@ -643,6 +643,17 @@ def test_byte_repeats_against_brute_force(spark, hot, monkeypatch):
     assert got == sorted(byte_repeats(rows), key=str)
 
 
+@pytest.mark.parametrize("hot", [20_000, 2])
+@pytest.mark.parametrize("same", [None, 7])
+def test_byte_repeats_of_rows_with_one_id(spark, same, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    p = "a passage that rows of one id share with a document of another unit, in whole. "
+    rows = [(same, f"{k} " + p * k) for k in range(1, 4)] + [(same, "2 " + p * 2)]
+    parts = [spark.createDataFrame(r, "doc_id long, text string").coalesce(1) for r in (rows, [(3, "three " + p)])]
+    got = collected(suffix_dedup.remove_repeats(parts[0].union(parts[1])))
+    assert got == sorted(byte_repeats([*rows, (3, "three " + p)]), key=str)
+
+
 def test_suffix_buckets():
     r = np.random.default_rng(9)
     x = r.integers(0, 2, 3000).astype(np.uint8)
