@@ -408,6 +408,12 @@ def perfect_shuffle(s, d):
     return read_table(s, d, "part").where("p_partkey < 200").select("p_partkey", B.shuffle_index(F.col("p_partkey"), 200).alias("dst"))
 
 
+@query("SELECT p_partkey, CASE WHEN p_partkey < (n + 1) // 2 THEN 2 * p_partkey ELSE 2 * (p_partkey - (n + 1) // 2) + 1 END AS dst FROM part, (SELECT COUNT(*) AS n FROM part) c")
+def perfect_shuffle_whole(s, d):
+    rows = read_table(s, d, "part").select("p_partkey")
+    return rows.select("p_partkey", B.shuffle_index(F.col("p_partkey"), rows.count()).alias("dst"))
+
+
 # shares
 
 
@@ -481,6 +487,12 @@ def table_resize(s, d):
     return t.resize(120).df.select(F.col(ROW_ID).alias("i"), "c_nationkey")
 
 
+@query("SELECT r.i, CAST(COALESCE(c_nationkey, 0) AS INTEGER) AS c_nationkey FROM (SELECT UNNEST(range(6 * COUNT(*) // 5)) AS i FROM customer) r LEFT JOIN customer ON c_custkey = r.i")
+def table_resize_whole(s, d):
+    t = customer(s, d, "c_nationkey")
+    return t.resize(6 * t.rows() // 5).df.select(F.col(ROW_ID).alias("i"), "c_nationkey")
+
+
 @query("SELECT p_partkey, p_name, p_size FROM part")
 def text_round_trip(s, d):
     t = part(s, d, "p_name", "p_size")
