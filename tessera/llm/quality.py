@@ -5,7 +5,7 @@ over histogram bins, with monotonic constraints (more symbols, repeated lines or
 document's score), and flattened into node arrays, by which a batch is scored one level at a time.
 
 The classifier is fitted on at most ``MAX_LABELLED`` labelled documents, those with the smallest hash of their
-id; that bound is a parameter. Without labels of both kinds only the base rule decides.
+id, one row each (of several, that of the smallest text digest); that bound is a parameter. Without labels of both kinds only the base rule decides.
 
 Defined cases: null or empty text has no words and fails the base rule; repeated rows are judged alike; labels
 that are null are not used; extra columns are ignored by the query and kept by the pipeline stage.
@@ -203,7 +203,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
     A.tune(docs.sparkSession)
     marks = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col(label).cast("double")).alias("y")).where("y is not null")
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(marks), "doc_id").select("y", "text")
+    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(marks), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.min_by("text", F.md5("text")).alias("text")).select("y", "text")
     got = rows.mapInArrow(_labelled, "y double, x array<double>").toArrow()
     y = got["y"].to_numpy()
     x = np.array(got["x"].to_pylist()).reshape(len(y), len(FEATURES))

@@ -505,6 +505,18 @@ def test_exchange_rounds_save_bins(spark):
     assert max(fill.values()) <= 100 and len(fill) <= packing.lower_bound(sizes, 100) + 2
 
 
+def test_trees_are_fitted_on_one_row_of_a_label(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(quality, "fit", lambda x, y, signs: fitted.append((x.tolist(), y.tolist())))
+    rows = [(i, f"text {i} of some words", None) for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    quality.train(frame(spark, rows + [(3, "another row " * k, None) for k in range(2, 40)] + rows[4:5] * 30), labels, bound=10)
+    quality.train(frame(spark, (rows + [(3, "another row " * k, None) for k in range(2, 40)] + rows[4:5] * 9)[::-1]), labels, bound=10)
+    assert len(fitted[0][1]) == 10 and fitted[0] == fitted[1]
+    quality.train(frame(spark, rows + [(3, "another row " * k, None) for k in range(2, 40)]), labels)
+    assert len(fitted[2][1]) == 20 and sum(fitted[2][1]) == 10
+
+
 # near-duplicates
 
 
