@@ -1,23 +1,27 @@
 """Near-duplicate documents by SetSketch registers.
 
-1. *Sketch.* A document's set holds a 64-bit name for each distinct shingle. Every element draws
-   one exponential variate for each of ``M`` registers (stratified, in ascending order, each to the next register of its own
+1. *Sketch.* Each distinct shingle of a document draws one exponential variate for each of ``M`` registers, from a 64-bit name
+   (stratified, in ascending order, each to the next register of its own
    affine order, so that most elements stop after one or two draws); a register keeps the least, on an
    exponentially spaced scale of base ``BASE``, truncated to 16 bits. Registers of unions are minima of variates, so
    sketches merge, and two sets agree in a register with a probability of about their similarity.
-2. *Classes.* Documents with the same set are one class, represented by its smallest doc_id.
+2. *Classes.* Documents with the same sequence of lower-cased words (by a digest of 128 bits) are one class, represented by its smallest row.
 3. *Bands.* Classes that agree in all registers of some band share a bucket. With 25 bands of 5, a pair at
    similarity 0.85 misses all with probability 4e-7.
-4. *Star round.* Every class of a bucket is paired with the smallest one there. The joint likelihood of the
-   registers' comparison estimates the pair's similarity; hopeless pairs go, the others are verified on full sets.
-5. *The rest.* Where a bucket still holds several components, each class outside the first class's component is
-   compared with all classes of other components, exactly, in blocks bounded by bytes: a bucket of any size is
-   spread over many tasks, and only links that join two components leave a task. So no link is lost, and groups
-   of copies cost about as much as their members.
+4. *Star round.* Every class of a bucket is paired with the first one there. The joint likelihood of the
+   registers' comparison estimates the pair's similarity; pairs ``SIGMAS`` under the threshold go (3e-7 of those at it), the others are verified.
+5. *The rest.* Where a bucket still holds several components, each class outside the first class's component is compared with the classes
+   of other components, first by registers alone, in blocks, once for each pair (in the first band that holds it). What the estimate
+   leaves is verified, unless its components have been joined by then.
+
+*Verification* counts the shingles themselves: the texts of a group of pairs go to a task once each, where words and shingles get numbers
+that are equal only for equal content. A group too large for one task is dealt over a grid of blocks. So a text travels
+with its groups, not with its pairs, and a link never rests on a hash.
 
 Defined cases: null, empty and blank texts have no set and are linked with nothing; a text with fewer words than a
-shingle is one element; rows with one doc_id are one document of the query (the pipeline stage compares their texts); a null
-doc_id counts as the largest; extra columns are ignored by the query and kept by the pipeline stage.
+shingle is one element, so it is linked with its class only; rows with one doc_id are one document of the query (the pipeline stage compares their texts); a null
+doc_id counts as the largest; a very long text is sketched by itself; an empty table gives an empty result;
+extra columns are ignored by the query and kept by the pipeline stage, whatever they are called.
 """
 
 from __future__ import annotations
@@ -32,14 +36,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import _arrays as A
-from tessera.llm._store import checkpoint, drop
+from tessera.llm._store import checkpoint, drop, n_parts
 from tessera.llm.components import components
 
 M, BANDS, BAND, BASE = 128, 25, 5, 1.02
 #: Estimates this far under the threshold (in standard deviations of a register count) are hopeless.
 SIGMAS = 5.0
-#: Shingles on each side of a block of exact comparisons.
-BLOCK_SHINGLES = 1_500_000
+#: Shingles on each side of a verified block, and sketches on each side of a compared one.
+BLOCK_SHINGLES, BLOCK_SKETCHES = 1_000_000, 4096
 NULL_ID = 2**63 - 1
 U64 = np.uint64
 
@@ -53,32 +57,38 @@ class Rule:
     den: int = 100
 
 
-def shingle_sets(x: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The names of all documents' sets, each ascending, and the documents' offsets there."""
+def shingle_sets(x: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All documents' sets: numbers of the unit (equal exactly for equal shingles, ascending in a document), names, and the documents' offsets there.
+
+    Texts with fewer words than a shingle have no entry.
+    """
     n = len(off) - 1
     low = A.LOWER[x]
     starts, ends, doc = A.word_spans(low, off)
-    names = A.word_names(low, starts, ends)
-    words = np.bincount(doc, minlength=n)
-    windows = A.window_names(names, width)
+    windows = A.exact_windows(A.exact_ids(low, starts, ends), width)
+    names = A.window_names(A.word_names(low, starts, ends), width)
     at = np.flatnonzero(doc[: len(windows)] == doc[width - 1 :]) if len(windows) else np.zeros(0, np.int64)
-    names_of, docs_of = [windows[at]], [doc[at]]
-    first = np.cumsum(words) - words
-    for k in range(1, width):  # shorter texts: the whole sequence
-        short = np.flatnonzero(words == k)
-        if len(short):
-            h = names[first[short]]
-            for j in range(1, k):
-                h = A.pair_names(h, names[first[short] + j], 1000 + j)
-            names_of.append(A.mix(h + U64(k)))
-            docs_of.append(short)
-    name, doc = np.concatenate(names_of), np.concatenate(docs_of)
-    order = np.lexsort((name, doc))
-    name, doc = name[order], doc[order]
-    new = np.ones(len(name), bool)
-    new[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
-    name, doc = name[new], doc[new]
-    return name, np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))])
+    key, first = np.unique((doc[at].astype(U64) << U64(32)) | windows[at].astype(U64), return_index=True)
+    off = np.concatenate([[0], np.cumsum(np.bincount((key >> U64(32)).astype(np.int64), minlength=n))])
+    return (key & U64(2**32 - 1)).astype(np.int64), names[at[first]], off
+
+
+def sequences(x: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The number of words of each text, and a digest of its lower-cased words in their order."""
+    starts, ends, doc = A.word_spans(x, off)
+    low = A.LOWER[x]
+    inside = np.zeros(len(x) + 1, np.int64)
+    np.cumsum(~A.SPACE[x], out=inside[1:])
+    words = np.bincount(doc, minlength=len(off) - 1)
+    data, lengths = low[~A.SPACE[x]].tobytes(), (ends - starts).astype("<u4").tobytes()
+    cuts, rows = inside[off].tolist(), np.concatenate([[0], 4 * np.cumsum(words)]).tolist()
+    out = []
+    for a, b, i, j in zip(cuts[:-1], cuts[1:], rows[:-1], rows[1:]):
+        h = hashlib.blake2b(data[a:b], digest_size=16)
+        h.update(lengths[i:j])
+        h.update((j - i).to_bytes(8, "little"))
+        out.append(h.digest())
+    return words, out
 
 
 def sketch(names: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -120,171 +130,248 @@ def similarity(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) ->
 
 
 def _sketched(width: int):
+    """Of rows of key columns and a text: the keys, n (shingles), sid (the words' digest), regs (null for texts under a shingle)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in A.units(batches):
             x, off = A.text_bytes(unit["text"])
-            names, cuts = shingle_sets(x, off, width)
-            regs = sketch(names, cuts)
-            data, at = names.tobytes(), (8 * cuts).tolist()
-            ids = [hashlib.blake2b(data[i:j], digest_size=16).digest() for i, j in zip(at[:-1], at[1:])]
-            yield pa.record_batch([unit["dk"].combine_chunks(), pa.array(np.diff(cuts)), pa.array(ids, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())], names=["dk", "n", "sid", "regs"])
+            _, names, cuts = shingle_sets(x, off, width)
+            words, ids = sequences(x, off)
+            n = np.diff(cuts)
+            regs = [r.tobytes() if k else None for r, k in zip(sketch(names, cuts), n.tolist())]
+            rest = unit.drop_columns(["text"]).combine_chunks()
+            columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in rest.columns]
+            yield pa.record_batch([*columns, pa.array(np.where(words > 0, np.maximum(n, 1), 0)), pa.array(ids, pa.binary()), pa.array(regs, pa.binary())], names=[*rest.column_names, "n", "sid", "regs"])
 
     return run
 
 
-def _sets(width: int):
+def _hopeful(rule: Rule):
+    """Of pairs (x, y, nx, ny, rx, ry): those whose registers leave a similarity over the threshold possible."""
+    least = least_estimate(rule)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in A.units(batches):
-            names, cuts = shingle_sets(*A.text_bytes(unit["text"]), width)
-            data, at = names.tobytes(), (8 * cuts).tolist()
-            yield pa.record_batch([unit["dk"].combine_chunks(), pa.array(np.diff(cuts)), pa.array([data[i:j] for i, j in zip(at[:-1], at[1:])], pa.binary())], names=["rep", "n", "names"])
+        for b in batches:
+            if b.num_rows:
+                a, c = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(-1, M) for k in (4, 5))
+                sizes = (b.column(k).to_numpy().astype(np.float64) for k in (2, 3))
+                yield b.select([0, 1, 2, 3]).filter(pa.array(similarity(a, c, *sizes) >= least))
 
     return run
 
 
-def _hopeful(rule: Rule):
+def least_estimate(rule: Rule) -> float:
     j = rule.num / rule.den
-    least = j - SIGMAS * (j * (1 - j) / M) ** 0.5
+    return j - SIGMAS * (j * (1 - j) / M) ** 0.5
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                a, c = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(-1, M) for k in (2, 3))
-                sizes = (b.column(k).to_numpy().astype(np.float64) for k in (4, 5))
-                yield b.select([0, 1]).filter(pa.array(similarity(a, c, *sizes) >= least))
 
-    return run
+def _compared(rule: Rule):
+    """Pairs of a block of sketches that an estimate leaves: other components, no pivot, and no earlier band in common.
 
+    Of two classes outside the pivot's component each pair comes once, with the greater component first.
+    """
+    least = least_estimate(rule)
 
-def _verified(rule: Rule):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                u, v = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                at = np.minimum(np.searchsorted(u, v), max(len(u) - 1, 0))
-                both = int((u[at] == v).sum()) if len(u) and len(v) else 0
-                keep.append(rule.den * both >= rule.num * (len(u) + len(v) - both) and both > 0)
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    def run(table: pa.Table) -> pa.Table:
+        cid, comp, n, band = (table[c].to_numpy().astype(np.int64) for c in ("cid", "c", "n", "band"))
+        left, minor = (table[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("is_left", "minor"))
+        regs = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint16).reshape(-1, M)
+        li, ri = np.flatnonzero(left), np.flatnonzero(~left)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for k in li.tolist():
+            r = ri[(comp[ri] != comp[k]) & (~minor[ri] | (comp[ri] < comp[k]))]
+            r = r[(rule.den * np.minimum(n[r], n[k]) >= rule.num * np.maximum(n[r], n[k]))]
+            equal = regs[r] == regs[k]
+            stay = equal.sum(1) >= least * M
+            r, equal = r[stay], equal[stay]
+            if not len(r):
+                continue
+            common = equal[:, : BANDS * BAND].reshape(len(r), BANDS, BAND).all(2)
+            stay = (common.argmax(1) == band[k]) & (similarity(regs[k], regs[r], np.full(len(r), float(n[k])), n[r].astype(np.float64)) >= least)
+            r = r[stay]
+            found.append((np.full(len(r), k), r))
+        i, j = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return pa.table([pa.array(a) for a in (cid[i], cid[j], n[i], n[j], comp[i], comp[j])], names=["x", "y", "nx", "ny", "cx", "cy"])
 
     return run
 
 
-def _block_links(rule: Rule):
-    """Links that join components, of one block: its left rows (minor) against its right rows."""
+def _verified(rule: Rule):
+    """Links (x, y, cx, cy) of a task that join components: rows with a text (node x) and pairs without one."""
 
     def run(table: pa.Table) -> pa.Table:
-        rep, comp = table["rep"].to_numpy().astype(np.int64), table["c"].to_numpy().astype(np.int64)
-        left = table["is_left"].to_numpy(zero_copy_only=False).astype(bool)
-        sets = [np.frombuffer(s, np.uint64) for s in table["names"].to_pylist()]
-        li, ri = np.flatnonzero(left), np.flatnonzero(~left)
-        xs, ys = [], []
-        if len(li) and len(ri):
-            sizes = np.array([len(sets[i]) for i in li])
-            names = np.concatenate([sets[i] for i in li])
-            owner = np.repeat(np.arange(len(li)), sizes)
-            order = np.argsort(names, kind="stable")
-            names, owner = names[order], owner[order]
-            parent = {int(c): int(c) for c in np.unique(comp)}
-
-            def root(c: int) -> int:
-                while parent[c] != c:
-                    parent[c] = parent[parent[c]]
-                    c = parent[c]
-                return c
-
-            for r in ri.tolist():
-                s = sets[r]
-                lo, hi = np.searchsorted(names, s, "left"), np.searchsorted(names, s, "right")
-                width = hi - lo
-                total = int(width.sum())
-                if not total:
-                    continue
-                at = np.arange(total) - np.repeat(np.cumsum(width) - width - lo, width)
-                both = np.bincount(owner[at], minlength=len(li))
-                for k in np.flatnonzero((both > 0) & (rule.den * both >= rule.num * (sizes + len(s) - both))).tolist():
-                    a, b = root(int(comp[li[k]])), root(int(comp[r]))
-                    if a != b:
-                        parent[max(a, b)] = min(a, b)
-                        xs.append(int(rep[li[k]]))
-                        ys.append(int(rep[r]))
-        return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
+        given = table["text"].is_valid().to_numpy()
+        nodes, pairs = table.filter(pa.array(given)), table.filter(pa.array(~given))
+        ids = nodes["x"].to_numpy().astype(np.int64)
+        code, _, cuts = shingle_sets(*A.text_bytes(nodes["text"]), rule.width)
+        at = {c: i for i, c in enumerate(ids.tolist())}
+        order = np.lexsort((pairs["x"].to_numpy(), pairs["y"].to_numpy()))
+        x, y, cx, cy = (pairs[c].to_numpy().astype(np.int64)[order] for c in ("x", "y", "cx", "cy"))
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                parent[c] = parent.get(up, up)
+                c = up
+            return c
+
+        flag = np.zeros(int(code.max(initial=0)) + 1, bool)
+        links = []
+        ends = np.flatnonzero(np.concatenate([y[1:] != y[:-1], [True]])) + 1 if len(y) else np.zeros(0, np.int64)
+        a = 0
+        for b in ends.tolist():
+            own = root(int(cy[a]))
+            todo = [k for k in range(a, b) if root(int(cx[k])) != own]
+            t = at[int(y[a])]
+            mine = code[cuts[t] : cuts[t + 1]]
+            flag[mine] = True
+            for first in range(0, len(todo), 256):  # of a node with very many pairs, some at a time
+                part = todo[first : first + 256]
+                rows = np.array([at[int(x[k])] for k in part])
+                size = cuts[rows + 1] - cuts[rows]
+                place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+                hits = np.concatenate([[0], np.cumsum(flag[code[np.repeat(cuts[rows], size) + place]])])
+                stop = np.cumsum(size)
+                both = hits[stop] - hits[stop - size]
+                ok = (both > 0) & (rule.den * both >= rule.num * (size + len(mine) - both))
+                for k in np.array(part)[ok].tolist():
+                    p, q = root(int(cx[k])), root(int(cy[k]))
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        links.append(k)
+            flag[mine] = False
+            a = b
+        return pa.table([pa.array(c[links]) for c in (x, y, cx, cy)], names=["x", "y", "cx", "cy"])
 
     return run
 
 
-def _with_key(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("dk"), F.col("text").cast("string"))
-
-
-def _rest_links(buckets: DataFrame, sets: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
-    """Links between the components that meet in a bucket of three or more classes, by blocks."""
-    rows = buckets.where("size > 2").join(labels.withColumnsRenamed({"node": "rep", "component": "c"}), "rep", "left")
-    rows = rows.withColumn("c", F.coalesce("c", "rep"))
-    rows = rows.join(sets.groupBy("rep").agg(F.max("n").alias("n")), "rep")
-    main = rows.where("rep = pivot").select("band", "key", F.col("c").alias("main"))
-    minor = F.col("c") != F.col("main")
-    rows = checkpoint(rows.join(main, ["band", "key"]).withColumn("minor", minor), "members")
-    shape = rows.groupBy("band", "key").agg(F.sum(F.when(F.col("minor"), F.col("n")).otherwise(0)).alias("nm"), F.sum("n").alias("na"))
-    shape = shape.where("nm > 0").select("band", "key", F.ceil(F.col("nm") / BLOCK_SHINGLES).alias("lefts"), F.ceil(F.col("na") / BLOCK_SHINGLES).alias("rights"))
-    rows = rows.join(shape, ["band", "key"])
-    h = F.xxhash64("rep", "band")
-    left = rows.where("minor").withColumns({"lb": F.pmod(h, "lefts"), "rb": F.explode(F.sequence(F.lit(0).cast("long"), F.col("rights") - 1)), "is_left": F.lit(True)})
-    right = rows.withColumns({"lb": F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1)), "rb": F.pmod(h, "rights"), "is_left": F.lit(False)})
-    cols = ["band", "key", "lb", "rb", "is_left", "rep", "c"]
-    work = left.select(*cols).union(right.select(*cols)).join(sets.select("rep", "names"), "rep")
-    return work.groupBy("band", "key", "lb", "rb").applyInArrow(_block_links(rule), "x long, y long")
-
-
-def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (the document is its component's smallest) for every row."""
-    spark = docs.sparkSession
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid, text) of rows (cid, sid, text) whose words have that digest, one of each class in a task."""
+    seen: set[int] = set()
+    for unit in A.units(batches):
+        _, found = sequences(*A.text_bytes(unit["text"]))
+        keep = []
+        for c, s, f in zip(unit["cid"].to_pylist(), unit["sid"].to_pylist(), found):
+            keep.append(s == f and c not in seen)
+            if keep[-1]:
+                seen.add(c)
+        yield from unit.select(["cid", "text"]).filter(pa.array(keep, pa.bool_())).to_batches()
+
+
+def _links(pairs: DataFrame, rows: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """(cx, cy): components joined by pairs (x, y, nx, ny, cx, cy, g) whose full sets are similar enough.
+
+    Pairs of one g meet in one task, or in a grid of blocks over x and y if their texts are many. A text goes once to each task.
+    """
+    pairs = checkpoint(pairs, "pairs")
+    sides = [pairs.select("g", F.col(k).alias("cid"), F.col(f"n{k}").alias("n")).distinct().groupBy("g").agg(F.sum("n").alias(f"s{k}")) for k in "xy"]
+    cells = sides[0].join(sides[1], "g").select("g", F.ceil(F.col("sx") / BLOCK_SHINGLES).alias("lefts"), F.ceil(F.col("sy") / BLOCK_SHINGLES).alias("rights"), (F.col("sx") + F.col("sy")).alias("size"))
+    cells = checkpoint(cells, "cells")
+    tasks = n_parts(cells.agg(F.sum("size")).first()[0] or 0, BLOCK_SHINGLES)
+    whole = (F.col("lefts") == 1) & (F.col("rights") == 1)
+    cell = F.xxhash64("g", F.pmod(F.xxhash64("x"), "lefts"), F.pmod(F.xxhash64("y"), "rights"))
+    pairs = pairs.join(cells, "g").withColumn("task", F.when(whole, F.pmod(F.xxhash64("g"), F.lit(tasks))).otherwise(cell))
+    pairs = checkpoint(pairs.select("task", "x", "y", "cx", "cy"), "pairs")
+    members = pairs.select("task", F.col("x").alias("cid")).union(pairs.select("task", F.col("y").alias("cid"))).distinct()
+    members = checkpoint(members, "members")
+    some = members.select("cid").distinct().join(classes.select("cid", "sid", "rep", "th"), "cid")
+    texts = rows.join(some, (rows["dk"] == some["rep"]) & (F.xxhash64(rows["text"]) == some["th"])).select("cid", "sid", "text").mapInArrow(_once, "cid long, text string")
+    none = F.lit(None).cast("long")
+    work = members.join(texts, "cid").select("task", F.col("cid").alias("x"), none.alias("y"), none.alias("cx"), none.alias("cy"), "text")
+    work = work.union(pairs.select("task", "x", "y", "cx", "cy", F.lit(None).cast("string").alias("text")))
+    found = checkpoint(work.groupBy("task").applyInArrow(_verified(rule), "x long, y long, cx long, cy long").select("cx", "cy").distinct(), "links")
+    for table in (cells, members, pairs):
+        drop(table)
+    return found
+
+
+def _rest(buckets: DataFrame, classes: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of classes that share a bucket of three or more and may be similar, without pivots, from different components."""
+    rows = buckets.where("size > 2").join(labels.select(F.col("node").alias("cid"), F.col("component").alias("c")), "cid", "left").withColumn("c", F.coalesce("c", "cid"))
+    rows = checkpoint(rows, "members")
+    main = rows.where("cid = pivot").select("band", "key", F.col("c").alias("main"))
+    several = rows.groupBy("band", "key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("band", "key")
+    some = rows.join(several, ["band", "key"], "left_semi").where("cid <> pivot").join(main, ["band", "key"]).withColumn("minor", F.col("c") != F.col("main"))
+    some = checkpoint(some.join(classes.select("cid", "n", "regs"), "cid"), "sketches")
+    shape = some.groupBy("band", "key").agg(F.ceil(F.sum(F.col("minor").cast("int")) / BLOCK_SKETCHES).alias("lefts"), F.ceil(F.count("*") / BLOCK_SKETCHES).alias("rights")).where("lefts > 0")
+    shape = shape.withColumn("whole", (F.col("lefts") == 1) & (F.col("rights") == 1))
+    some = some.join(shape, ["band", "key"])
+    h = F.xxhash64("cid", "band")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = some.where("minor").withColumns({"lb": F.pmod(h, "lefts"), "rb": numbers("rights"), "is_left": F.lit(True)})
+    right = some.withColumns({"lb": numbers("lefts"), "rb": F.pmod(h, "rights"), "is_left": F.lit(False)})
+    cols = ["band", "key", "lb", "rb", "is_left", "minor", "cid", "c", "n", "regs"]
+    work = left.select(*cols).union(right.select(*cols))
+    found = work.groupBy("band", "key", "lb", "rb").applyInArrow(_compared(rule), "x long, y long, nx long, ny long, cx long, cy long")
+    return found.withColumn("g", F.col("cy"))
+
+
+def near_duplicates(rows: DataFrame, rule: Rule = Rule(), merge: bool = True) -> DataFrame:
+    """dk, n and first (the smallest dk of the row's component) of rows (dk, text); dk may be of any ordered kind.
+
+    merge: rows of one dk are one document.
+    """
+    spark = rows.sparkSession
     A.tune(spark)
-    rows = _with_key(docs)
-    sig = checkpoint(rows.mapInArrow(_sketched(rule.width), "dk long, n long, sid binary, regs binary"), "sketches")
-    classes = checkpoint(sig.where("n > 0").groupBy("sid").agg(F.min("dk").alias("rep"), F.first("regs").alias("regs"), F.first("n").alias("n")), "classes")
+    kind = rows.schema["dk"].dataType.simpleString()
+    sig = rows.select("dk", F.xxhash64("text").alias("th"), "text").mapInArrow(_sketched(rule.width), f"dk {kind}, th long, n long, sid binary, regs binary")
+    sig = checkpoint(sig, "sketches")
+    least = F.min(F.struct("dk", "th"))
+    classes = sig.where("n > 0").groupBy("sid").agg(least.alias("at"), F.first("regs").alias("regs"), F.first("n").alias("n"))
+    # the number of a class is fixed once the table is written
+    classes = checkpoint(classes.select(F.monotonically_increasing_id().alias("cid"), "sid", F.col("at.dk").alias("rep"), F.col("at.th").alias("th"), "regs", "n"), "classes")
+    mine = checkpoint(sig.where("n > 0").select("dk", "sid").join(classes.select("sid", "cid", "rep"), "sid").select("dk", "cid", "rep"), "ids") if merge else None
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.substring("regs", i * (2 * BAND) + 1, F.lit(2 * BAND))).alias("key")))).alias("b")
-    keys = classes.select("rep", band).select("rep", "b.band", "b.key").distinct()
-    shared = keys.groupBy("band", "key").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).where("size > 1")
+    keys = classes.where("regs is not null").select("cid", band).select("cid", "b.band", "b.key")
+    shared = keys.groupBy("band", "key").agg(F.min("cid").alias("pivot"), F.count("*").alias("size")).where("size > 1")
     buckets = checkpoint(keys.join(shared, ["band", "key"]), "buckets")
-    regs = classes.select("rep", "regs", "n")
-    stars = buckets.where("rep <> pivot").select(F.col("rep").alias("x"), F.col("pivot").alias("y")).distinct()
-    stars = stars.join(regs.withColumnsRenamed({"rep": "x", "regs": "rx", "n": "nx"}), "x").join(regs.withColumnsRenamed({"rep": "y", "regs": "ry", "n": "ny"}), "y")
-    stars = checkpoint(stars.select("x", "y", "rx", "ry", "nx", "ny").mapInArrow(_hopeful(rule), "x long, y long"), "stars")
-    some = buckets.select(F.col("rep").alias("dk")).distinct()
-    sets = checkpoint(rows.join(some, "dk").mapInArrow(_sets(rule.width), "rep long, n long, names binary").where("n > 0"), "sets")
-    full = sets.select("rep", "names")
-    tested = stars.join(full.withColumnsRenamed({"rep": "x", "names": "sx"}), "x").join(full.withColumnsRenamed({"rep": "y", "names": "sy"}), "y")
-    links = tested.select("x", "y", "sx", "sy").mapInArrow(_verified(rule), "x long, y long")
-    same = sig.where("n > 0").join(classes.select("sid", "rep"), "sid").groupBy("dk").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("x", "y")
-    links = checkpoint(links.union(same).distinct(), "links")
-    labels = components(links)
-    more = checkpoint(_rest_links(buckets, sets, labels, rule).distinct(), "links")
-    if not more.isEmpty():
-        labels = components(links.union(more))
-    for table in (stars, sets, buckets):
-        drop(table)
-    found = sig.join(classes.select("sid", "rep"), "sid", "left")
-    found = found.join(labels.withColumnsRenamed({"node": "rep", "component": "c"}), "rep", "left")
-    comp = F.coalesce("c", "rep", "dk")
-    back = lambda c: F.when(c != NULL_ID, c)
-    return found.select(back(F.col("dk")).alias("doc_id"), F.col("n").alias("n_shingles"), back(comp).alias("component_id"), (comp == F.col("dk")).alias("kept"))
+    side = lambda k: classes.select(F.col("cid").alias(k), F.col("regs").alias(f"r{k}"), F.col("n").alias(f"n{k}"))
+    stars = buckets.where("cid <> pivot").select(F.col("cid").alias("x"), F.col("pivot").alias("y")).distinct()
+    stars = stars.join(side("x"), "x").join(side("y"), "y").select("x", "y", "nx", "ny", "rx", "ry")
+    stars = stars.mapInArrow(_hopeful(rule), "x long, y long, nx long, ny long").withColumns({"cx": F.col("x"), "cy": F.col("y"), "g": F.col("y")})
+    links = _links(stars, rows, classes, rule)
+    if merge:
+        several = mine.groupBy("dk").agg(F.min("cid").alias("cx"), F.max("cid").alias("cy")).where("cx <> cy").select("dk", "cx")
+        same = checkpoint(mine.join(several, "dk").select("cx", F.col("cid").alias("cy")).where("cx <> cy").distinct(), "links")
+        links = links.union(same)
+    labels = components(links.toDF("x", "y"))
+    more = _links(_rest(buckets, classes, labels, rule), rows, classes, rule)
+    if not more.isEmpty():  # components of components
+        again = components(more.toDF("x", "y")).toDF("component", "joined")
+        all_labels = labels.union(again.select(F.col("component").alias("node"), "component")).distinct()  # classes that had no link before
+        labels = checkpoint(all_labels.join(again, "component", "left").groupBy("node").agg(F.min(F.coalesce("joined", "component")).alias("component")), "labels")
+    named = labels.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
+    named = named.join(named.groupBy("component").agg(F.min("rep").alias("first")), "component").select(F.col("node").alias("cid"), "first")
+    of_class = checkpoint(classes.select("sid", "cid", "rep").join(named, "cid", "left").select("sid", F.coalesce("first", "rep").alias("first")), "first")
+    drop(buckets)
+    found = sig.select("dk", "n", "sid").join(of_class, "sid", "left")
+    return found.select("dk", "n", F.coalesce("first", "dk").alias("first"))
+
+
+def _with_key(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("dk"), F.col("text").cast("string").alias("text"))
+
+
+def components_of(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept (the document is its component's smallest) for every row."""
+    back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
+    found = near_duplicates(_with_key(docs), rule)
+    return found.select(back("dk").alias("doc_id"), F.col("n").alias("n_shingles"), back("first").alias("component_id"), (F.col("first") == F.col("dk")).alias("kept"))
 
 
 def keep_first(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """One row of each component, with all its columns: that of the smallest doc_id, among its texts that of the smallest name.
+    """One row of each component, with all its columns: that of the smallest doc_id, among its texts that of the smallest digest.
 
-    Here a document is a doc_id with a text, and texts are linked by their content alone: rows that share a doc_id, or have none,
-    are compared like all others. Rows whose text has no set stay. Those that go are fewer than those that stay, so they are joined.
+    Here a document is a doc_id with a text: rows that share a doc_id, or have none, are compared like all others. Rows
+    whose text has no set stay. Those that go are fewer than those that stay, so they are joined.
     """
-    dk, name = F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)), F.xxhash64(docs["text"].cast("string"))
-    found = near_duplicates(docs.select(name.alias("doc_id"), "text"), rule).where("n_shingles > 0")
-    found = found.groupBy(F.col("doc_id").alias("__name")).agg(F.min("component_id").alias("c"))
-    rows = docs.select(dk.alias("__dk"), name.alias("__name")).groupBy("__dk", "__name").agg(F.count("*").alias("n")).join(found, "__name")
-    rows = rows.withColumn("at", F.struct("__dk", "__name"))
-    rows = rows.join(rows.groupBy("c").agg(F.min("at").alias("first")), "c").withColumn("goes", F.col("at") != F.col("first"))
-    marks = checkpoint(rows.where("goes or n > 1").select("__dk", "__name", "goes"), "gone")
-    on = (dk == marks["__dk"]) & (name == marks["__name"])
+    dk, name = F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)), F.substring(F.unhex(F.sha2(docs["text"].cast("string"), 256)), 1, 16)
+    rows = docs.select(F.struct(dk.alias("id"), name.alias("name")).alias("dk"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    found = near_duplicates(rows, rule, merge=False).where("n > 0").groupBy("dk").agg(F.min("first").alias("first"), F.count("*").alias("n"))
+    found = found.select("dk", "n", (F.col("dk") != F.col("first")).alias("goes")).where("goes or n > 1")
+    marks = checkpoint(found.select(F.col("dk.id").alias("__mark_id"), F.col("dk.name").alias("__mark_name"), "goes"), "gone")
+    on = (dk == marks["__mark_id"]) & (name == marks["__mark_name"])
     kept = docs.join(marks, on, "left_anti")
     again = marks.where("not goes")  # first of their component, but in several equal rows
     return kept if again.isEmpty() else kept.unionByName(docs.join(again, on, "left_semi").dropDuplicates(["doc_id", "text"]))
@@ -295,7 +382,7 @@ CONTRACT = Rule(3, 85, 100)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), CONTRACT)
+    return components_of(spark.read.parquet(f"{sf_dir}/documents.parquet"), CONTRACT)
 
 
 #: The contract in SQL: all pairs that share a shingle, compared on full sets, and what each document reaches.

@@ -1,6 +1,6 @@
 """Quality rules: a base rule and gradient-boosted trees over document statistics.
 
-The statistics are counted over every whole text. The trees are fitted by Newton boosting on the logistic loss
+The statistics are counted over every whole text; lines, words and windows count as equal only if their bytes are. The trees are fitted by Newton boosting on the logistic loss
 over histogram bins, with monotonic constraints (more symbols, repeated lines or repeated words never raise a
 document's score), and flattened into node arrays, by which a batch is scored one level at a time.
 
@@ -8,7 +8,8 @@ The classifier is fitted on at most ``MAX_LABELLED`` labelled documents, those w
 id, one row each (of several, that of the smallest text digest); that bound is a parameter. Without labels of both kinds only the base rule decides.
 
 Defined cases: null or empty text has no words and fails the base rule; repeated rows are judged alike; labels
-that are null are not used; extra columns are ignored by the query and kept by the pipeline stage.
+that are null are not used; a very long text is a batch of its own; empty tables of documents or labels give an empty result or
+the base rule alone; extra columns are ignored by the query and kept by the pipeline stage, whatever they are called.
 """
 
 from __future__ import annotations
@@ -51,9 +52,9 @@ def _per_doc(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
-def _repeats(doc: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Flags of names that occur more than once in their document, and of those that occurred before."""
-    key = A.pair_names(doc.astype(np.uint64), names)
+def _repeats(doc: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Flags of ids (numbers under 2^32) that occur more than once in their document, and of those that occurred before."""
+    key = (doc.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)
     order = np.argsort(key, kind="stable")
     same = np.zeros(len(key) + 1, bool)
     same[1:-1] = key[order][1:] == key[order][:-1]
@@ -81,26 +82,26 @@ def statistics(x: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     """The base counts and the features of every document of a unit."""
     n = len(off) - 1
     starts, ends, doc = A.word_spans(x, off)
-    names = A.word_names(x, starts, ends)
+    ids = A.exact_ids(x, starts, ends)
     words = np.bincount(doc, minlength=n).astype(np.int64)
     out = {"n_words": words, "word_chars": _per_doc(_CHAR[x] & ~A.SPACE[x], off), "n_symbols": _per_doc(_SYMBOL[x], off)}
 
     ls, le, ld = line_spans(x, off)
     has_word = np.searchsorted(starts, le) > np.searchsorted(starts, ls)
     ls, le, ld = ls[has_word], le[has_word], ld[has_word]
-    _, later = _repeats(ld, A.word_names(x, ls, le))
+    _, later = _repeats(ld, A.exact_ids(x, ls, le))
     out["n_dup_lines"] = np.bincount(ld[later], minlength=n).astype(np.int64)
     lines = np.bincount(ld, minlength=n)
 
-    windows = A.window_names(names, WINDOW)
+    windows = A.exact_windows(ids, WINDOW)
     at = np.flatnonzero(doc[: len(windows)] == doc[WINDOW - 1 :]) if len(windows) else np.zeros(0, np.int64)
     more, _ = _repeats(doc[at], windows[at])
-    edge = np.zeros(len(names) + 1, np.int64)
+    edge = np.zeros(len(ids) + 1, np.int64)
     edge[at[more]] += 1
     edge[at[more] + WINDOW] -= 1
     out["n_repeat_words"] = np.bincount(doc[np.cumsum(edge)[:-1] > 0], minlength=n).astype(np.int64)
 
-    _, again = _repeats(doc, names)
+    _, again = _repeats(doc, ids)
     w, c = np.maximum(words, 1), np.maximum(out["word_chars"], 1)
     features = [
         np.log1p(words), out["word_chars"] / w, out["n_symbols"] / w, out["n_dup_lines"] / np.maximum(lines, 1), out["n_repeat_words"] / w,
@@ -248,6 +249,20 @@ def keep_good(docs: DataFrame, trees: Trees | None) -> DataFrame:
     return docs.mapInArrow(_kept(trees), docs.schema)
 
 
+#: The base counts and the base rule in SQL (the trees' verdict is beyond it).
+BASE_SQL = f"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, COALESCE(text, '') AS text FROM documents),
+w AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM t),
+l AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM t),
+d AS (SELECT rid, CAST(SUM(c - 1) AS BIGINT) AS n FROM (SELECT rid, line, COUNT(*) AS c FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY rid, line) GROUP BY rid),
+g AS (SELECT rid, unnest([w[i:i + {WINDOW - 1}] for i in range(1, len(w) - {WINDOW - 2})]) AS g, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w WHERE len(w) >= {WINDOW}),
+m AS (SELECT rid, i FROM (SELECT rid, i, COUNT(*) OVER (PARTITION BY rid, g) AS c FROM g) WHERE c > 1),
+r AS (SELECT rid, COUNT(DISTINCT i + o) AS n FROM m, range(0, {WINDOW}) x(o) GROUP BY rid),
+b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, COALESCE(d.n, 0) AS n_dup_lines, CAST(COALESCE(r.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN d ON w.rid = d.rid LEFT JOIN r ON w.rid = r.rid)
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_WORDS} * n_words AS base_failed FROM b"""
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return judge(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

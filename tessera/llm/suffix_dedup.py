@@ -45,7 +45,7 @@ HOT, PART_BYTES, TASK_SNIPPETS = 20_000, 16 << 20, 8_000
 
 def gram_names(x: np.ndarray, q: int = Q) -> np.ndarray:
     """A name of each q bytes (q a power of two), by doubling."""
-    h = A.LANES[0][0][x]
+    h = A.BYTES[x]
     size = 1
     while size < q:
         h = A.pair_names(h[:-size], h[size:], size) if len(h) > size else h[:0]
@@ -157,7 +157,7 @@ def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = unit["dk"].to_numpy()
         # equal snippets of the unit: those of the smallest id go on, one for each text with that id
         end = last + LENGTH
-        same = A.pair_names(name, A.word_names(x, first, end, 1))
+        same = A.exact_ids(x, first, end)
         th = unit["th"].combine_chunks()
         text = th.dictionary_encode().indices.to_numpy()[doc]
         order = np.lexsort((first, doc, text, ids[doc], same))
