@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _arrays as A
@@ -25,10 +25,44 @@ SHORT = np.uint64(2**64 - 2**16)
 _SENT = "part long, unit long, answered boolean, ids binary, texts binary, owners binary, names binary, more binary, known binary"
 
 
+def digest(text: Column) -> Column:
+    """128 bits of the SHA-256 of a text: texts with equal digests are taken for equal."""
+    return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """dk (the doc_id; null counts as the largest), th (a digest of the text) and text."""
+    """dk (the doc_id; null counts as the largest), th (the digest of the text) and text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("dk"), F.unhex(F.md5(text)).alias("th"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("dk"), digest(text).alias("th"), text.alias("text"))
+
+
+def first_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows with equal dk and th in a task, the first."""
+    seen: set[tuple[int, bytes]] = set()
+    for b in batches:
+        keep = []
+        for key in zip(b.column(b.schema.get_field_index("dk")).to_pylist(), b.column(b.schema.get_field_index("th")).to_pylist()):
+            keep.append(key not in seen)
+            seen.add(key)
+        yield b.filter(pa.array(keep, pa.bool_()))
+
+
+def packed_spans(table: pa.Table) -> pa.Table:
+    """The spans (start, n) of each document (dk, th) of a group, packed."""
+    dk, start, n = (table[c].to_numpy().astype(np.int64) for c in ("dk", "start", "n"))
+    th = np.frombuffer(b"".join(table["th"].to_pylist()), "<u8").reshape(-1, 2)
+    order = np.lexsort((start, th[:, 1], th[:, 0], dk))
+    dk, th, both = dk[order], th[order], np.column_stack([start, n])[order].astype("<i8")
+    head = np.ones(len(dk), bool)
+    head[1:] = (dk[1:] != dk[:-1]) | (th[1:] != th[:-1]).any(1)
+    cuts = np.append(np.flatnonzero(head), len(dk)).tolist()
+    return pa.table([pa.array(dk[head]), pa.array([th[a].tobytes() for a in cuts[:-1]], pa.binary()), pa.array([both[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["dk", "th", "spans"])
+
+
+def spread_join(rows: DataFrame, found: DataFrame, on: str, salts: int = 16) -> DataFrame:
+    """An inner join on a column of which some value may be in very many ``rows`` (dk, start, ...) but in one row of ``found``."""
+    salt = F.pmod(F.xxhash64("dk", "start"), F.lit(salts))
+    return rows.withColumn("salt", salt).join(found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), [on, "salt"]).drop("salt")
 
 
 def _pack(names: np.ndarray, short: bool) -> bytes:

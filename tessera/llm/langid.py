@@ -9,12 +9,15 @@ exact in any order. The language with the shortest code wins (ties: the smaller
 
 Before counting and coding, capitals of ASCII and Latin-1 letters are folded to small ones.
 
-Training uses about ``TRAIN_BYTES`` bytes for each language: whole documents in the order of a hash of id and text, to the one that
-crosses the bound, which is included; a language with less is used whole.
+Training uses ``TRAIN_BYTES`` bytes for each language, or its share of ``TOTAL_BYTES`` where there are very many languages: documents in the order of
+a hash of id and text, to the one that crosses the bound, which is cut there; a language with less is used whole. So every language
+with a labelled text is learned, and driver, model and workers hold a bounded amount whatever the data.
 Only text and language of documents outside the held-out third are read for it.
 
-Defined cases: null text, or text without a letter, is ``und`` with score 0; without any training document all
-are ``und``; repeated rows get equal results; before a text's start its context is zero bytes.
+Defined cases: null text, or text without a letter, is ``und`` with score 0; without any training document (as in an empty table) all
+are ``und``; repeated rows get equal results; rows without a doc_id are not held out, and are drawn by their texts; before a text's start its
+context is zero bytes; a text of any length is coded a slice after the other; extra columns are ignored by the query and
+kept by the pipeline stage, whatever they are called.
 """
 
 from __future__ import annotations
@@ -27,10 +30,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.llm import _arrays as A
 
-ORDER, TRAIN_BYTES, UNITS = 3, 1_500_000, 1024
+ORDER, TRAIN_BYTES, TOTAL_BYTES, UNITS = 3, 1_500_000, 30_000_000, 1024
 HASH_BITS = 56
 #: A text of more bits a byte than this (less FREE_BITS for all) in its best language is in none of the learned languages.
 MAX_BITS = 7.5
@@ -188,8 +192,8 @@ class Coder:
         return out
 
 
-def _limits(known: DataFrame, bound: int) -> dict[str, int]:
-    """The hash up to which a language's texts are pulled: those reach ``bound`` bytes, or are all.
+def _limits(known: DataFrame, bound: int, total: int) -> tuple[dict[str, int], int]:
+    """The hash up to which a language's texts are pulled: those reach the bound, or are all; and that bound, a share of ``total`` at most.
 
     Each pass sums bytes by the next 8 bits of the hash, inside the bin in which the sum reaches the bound, until that bin is one
     hash or the sum with it is at most twice the bound.
@@ -203,8 +207,11 @@ def _limits(known: DataFrame, bound: int) -> dict[str, int]:
             spans = known.sparkSession.createDataFrame(list(inside.items()), "lang string, inside long")
             rows = known.join(F.broadcast(spans), "lang").where(F.shiftright("h", step + 8) == F.col("inside"))
         sums = rows.groupBy("lang", F.shiftright("h", step).alias("bin")).agg(F.sum("b").alias("b"), F.min("h").alias("least"), F.max("h").alias("most"))
+        found = sums.collect()
+        if not inside:
+            bound = max(1, min(bound, total // max(1, len({r["lang"] for r in found}))))
         inside = {}
-        for r in sorted(sums.collect(), key=lambda r: (r["lang"], r["bin"])):
+        for r in sorted(found, key=lambda r: (r["lang"], r["bin"])):
             lang, before = r["lang"], under.get(r["lang"], 0)
             if lang in inside or (before >= bound and lang in limits):
                 continue
@@ -215,28 +222,29 @@ def _limits(known: DataFrame, bound: int) -> dict[str, int]:
                 under[lang] = before + r["b"]
         if not inside:
             break
-    return limits
+    return limits, bound
 
 
-def _sample(docs: DataFrame, bound: int) -> dict[str, list[bytes]]:
-    """Whole texts of each language in the order of their hashes, to the one by which they reach ``bound`` bytes; equal rows count each."""
+def _sample(docs: DataFrame, bound: int, total: int = TOTAL_BYTES) -> dict[str, list[bytes]]:
+    """Texts of each language in the order of their hashes, to the one by which they reach the bound, which is cut there; equal rows count each."""
     text = F.col("text").cast("string")
     h = F.xxhash64("doc_id", text).bitwiseAND(F.lit(2**HASH_BITS - 1))
     known = docs.where(~held_out() & F.col("lang").isNotNull() & (F.octet_length(text) > 0)).select(F.col("lang").cast("string"), text.alias("text"), h.alias("h"), F.octet_length(text).alias("b"))
-    limits = _limits(known.drop("text"), bound)
+    limits, bound = _limits(known.drop("text"), bound, total)
     if not limits:
         return {}
     spans = known.sparkSession.createDataFrame(list(limits.items()), "lang string, most long")
-    pulled = known.join(F.broadcast(spans), "lang").where("h <= most").groupBy("lang", "h", "text").count()
+    pulled = known.join(F.broadcast(spans), "lang").where("h <= most").withColumn("text", F.substring("text", 1, bound)).groupBy("lang", "h", "text").count()
     out: dict[str, list[bytes]] = {}
     size: dict[str, int] = {}
     for r in sorted(pulled.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
         got, data = out.setdefault(r["lang"], []), r["text"].encode()
-        room = bound - size.get(r["lang"], 0)
-        if room > 0:
-            copies = min(r["count"], -(-room // len(data)))
-            got.extend([data] * copies)
-            size[r["lang"]] = bound - room + copies * len(data)
+        for _ in range(r["count"]):
+            room = bound - size.get(r["lang"], 0)
+            if room <= 0:
+                break
+            got.append(data[:room])
+            size[r["lang"]] = size.get(r["lang"], 0) + len(got[-1])
     return out
 
 
@@ -245,16 +253,18 @@ def fit(docs: DataFrame, bound: int = TRAIN_BYTES, order: int = ORDER) -> Model
     return train(_sample(docs, bound), order)
 
 
-_coders: dict[int, Coder] = {}
+_coders: dict[int, Coder | None] = {}
 
 
 def _predict(shared, carry: bool):
-    """Predictions of batches with text and has_letter; carry: keep the input columns of texts that pass, and only those."""
+    """Predictions of batches with text and has_letter; carry: only the column ``row`` of texts that pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        coder = _coders.get(id(model)) or (Coder(model) if model else None)
-        _coders[id(model)] = coder
+        if id(model) not in _coders:
+            _coders.clear()  # a worker keeps one model
+            _coders[id(model)] = Coder(model) if model else None
+        coder = _coders[id(model)]
         for unit in A.units(batches):
             x, off = A.text_bytes(unit["text"])
             n, known = unit.num_rows, unit["has_letter"].to_numpy().astype(bool)
@@ -268,7 +278,7 @@ def _predict(shared, carry: bool):
             else:
                 known, best, score, bits = np.zeros(n, bool), np.zeros(n, int), np.zeros(n), np.zeros(n)
             if carry:
-                yield from unit.filter(pa.array(known & (bits <= MAX_BITS))).drop_columns(["has_letter"]).to_batches()
+                yield from unit.select(["row"]).filter(pa.array(known & (bits <= MAX_BITS))).to_batches()
                 continue
             names = [*(model.languages if model else []), "und"]
             pred = pa.array(names, pa.string()).take(pa.array(np.where(known, best, len(names) - 1)))
@@ -293,8 +303,9 @@ def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows, with all their columns, whose text is in a learned language: it has letters and codes in at most MAX_BITS a byte."""
     spark = docs.sparkSession
     A.tune(spark)
-    rows = docs.withColumn("has_letter", _has_letter())
-    return rows.mapInArrow(_predict(spark.sparkContext.broadcast(model), True), docs.schema)
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"), _has_letter().alias("has_letter"))
+    out = rows.mapInArrow(_predict(spark.sparkContext.broadcast(model), True), StructType([rows.schema["row"]]))
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,12 @@ Pieces of at most ``capacity`` tokens go into as few sequences as can be found.
    bins. The pieces of open bins are exchanged: dealt anew over as few partitions as hold them, packed
    and certified again. The last round (one partition, or ``ROUNDS``) closes all bins.
 
-Defined cases: null and empty texts are one end-of-text token; documents over the capacity are cut into
-full pieces and a rest; repeated rows are packed once each; an empty table gives no sequences.
+Each piece carries the certificate of the partition that placed it: the round, how many bins that partition used, and the
+bound of how few it could have used.
+
+Defined cases: null and empty texts are one end-of-text token; documents over the capacity, of any length, are cut into
+full pieces and a rest; repeated rows, also such without doc_id, are packed once each and dealt over all partitions; an empty table gives no
+sequences; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from tessera.llm._store import checkpoint
 
 CAPACITY, EOT = 4096, 1
 #: Pieces in a partition (bounds a task), rounds at most, and the free share of a bin that a certified partition may close.
-PART_PIECES, ROUNDS, SLACK = 400_000, 4, 0.01
+PART_PIECES, ROUNDS, SLACK = 50_000, 4, 0.01
 #: Words whose ids a worker keeps; beyond it, rarer words are encoded once a unit.
 CACHE_WORDS = 400_000
 
@@ -178,50 +182,52 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
 
 
 def pack_groups(capacity: int, last: bool, round_no: int):
-    """Packs one partition's pieces; closed bins get their ids, pieces of open bins go on (sequence_id null)."""
+    """Packs one partition's pieces; closed bins get their ids, pieces of open bins go on (sequence_id null).
+
+    Pieces are taken in an order of their content, so a partition that is computed again is packed alike.
+    """
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("length", "doc_id", "piece", "start", "ids_crc32")])
         lengths = table["length"].to_numpy().astype(np.int64)
         bins, offsets, n = best_fit_decreasing(lengths, capacity)
         fill = np.bincount(bins, lengths, n)
-        certified = n <= lower_bound(lengths, capacity)
-        keep = np.ones(n, bool) if last else fill >= capacity * (1 - SLACK * certified)
+        bound = lower_bound(lengths, capacity)
+        keep = np.ones(n, bool) if last else fill >= capacity * (1 - SLACK * (n <= bound))
         part = int(table["part"][0].as_py())
-        ids = (round_no << 56) + (part << 32) + bins
-        closed = keep[bins]
-        out = table.drop_columns(["sequence_id", "offset"])
-        return out.append_column("sequence_id", pa.array(ids, pa.int64(), mask=~closed)).append_column("offset", pa.array(offsets, pa.int64(), mask=~closed))
+        closed = ~keep[bins]
+        found = {"sequence_id": (round_no << 56) + (part << 32) + bins, "offset": offsets, "round": np.full(len(bins), round_no), "part_bins": np.full(len(bins), n), "part_bound": np.full(len(bins), bound)}
+        out = table.select(_FIELDS)
+        for name, values in found.items():
+            out = out.append_column(name, pa.array(values, pa.int64(), mask=closed))
+        return out
 
     return run
 
 
 _ROW = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_FIELDS = [f.split()[0] for f in _ROW.split(", ")]
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to rows of ``_ROW``; ``pieces`` should be a written table, since it is read twice."""
+    """Adds sequence_id, offset and the certificate (round, part_bins, part_bound) to rows of ``_ROW``.
+
+    ``pieces`` should be a written table: its rows are dealt by their places in it, so equal rows spread over all partitions.
+    """
+    out, round_no, left = None, 0, pieces
     n = pieces.count()
-    parts = max(1, -(-n // part_pieces))
-    left = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(parts)).cast("long"))
-    done, round_no, final = [], 0, parts == 1
     while True:
-        left = left.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
-        run = pack_groups(capacity, final, round_no)
-        packed = left.groupBy("part").applyInArrow(run, f"{_ROW}, part long, sequence_id long, offset long")
-        if final:
-            done.append(packed)
-            break
-        packed = checkpoint(packed, f"pack{round_no}")
-        done.append(packed.where("sequence_id is not null"))
-        rest = packed.where("sequence_id is null")
-        round_no += 1
-        parts = max(1, -(-rest.count() // part_pieces))
+        parts = max(1, -(-n // part_pieces))
         final = parts == 1 or round_no == ROUNDS
-        left = rest.drop("sequence_id", "offset").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.lit(round_no)), F.lit(parts)).cast("long"))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.drop("part")
+        deal = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(round_no)), F.lit(parts)).cast("long")
+        packed = left.select(*_FIELDS).withColumn("part", deal).groupBy("part").applyInArrow(pack_groups(capacity, final, round_no), f"{_ROW}, sequence_id long, offset long, round long, part_bins long, part_bound long")
+        packed = packed if final else checkpoint(packed, f"pack{round_no}")
+        done = packed.where("sequence_id is not null")
+        out = done if out is None else out.unionByName(done)
+        if final:
+            return out
+        left = packed.where("sequence_id is null")
+        n, round_no = left.count(), round_no + 1
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, eot: int = EOT) -> DataFrame:

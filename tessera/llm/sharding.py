@@ -7,9 +7,9 @@ w has w turns a round). The filled table is a fixed function of names, weights a
 ``size`` entries whatever the data, so it is broadcast, and a row finds its shard by one lookup. When a
 shard joins or leaves, few slots change owner beyond those it gains or loses.
 
-Defined cases: equal keys (repeated rows) share a slot; a null key hashes as the text ``<null>``; an empty
-table gives an empty result; other columns pass through, and columns already called like a result column
-are replaced.
+Defined cases: equal keys (repeated rows) share a slot; a null key hashes as the text ``<null>``; only a key, never a text, is hashed, of
+whatever length; an empty table gives an empty result; other columns pass through, and columns already called ``slot`` or
+``shard`` are replaced (the key too, after it was hashed, if it has that name).
 """
 
 from __future__ import annotations
@@ -67,7 +67,7 @@ def slot_of(key: Column, size: int) -> Column:
 def place(df: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE, weights: list[int] | None = None) -> DataFrame:
     """``df`` with ``slot`` and ``shard``; no shuffle: the table of ``size`` rows is broadcast."""
     table = table_frame(df.sparkSession, fill_table(shards, size, weights))
-    rows = df.drop("shard").withColumn("slot", slot_of(F.col(key), size))
+    rows = df.withColumn("slot", slot_of(df[key], size)).drop("shard")
     return rows.join(F.broadcast(table), "slot")
 
 

@@ -16,12 +16,12 @@ then each bucket by the buckets that its members' later offsets are in, whose re
    decides over the others.
 
 A bucket of more than ``HOT`` snippets is hot: its strings go one by one, the smallest document of each is found by an
-aggregate (combined before the shuffle) and joined back, so a bucket of any size is spread over many tasks. Texts that are equal as a
-whole are known by their digest; one of them takes part.
+aggregate (combined before the shuffle) and joined back over salts, so a bucket or string of any size is spread over many tasks. Texts that are
+equal as a whole are known by 128 bits of their SHA-256; one of them takes part. All else is decided on bytes: names only say where to look.
 
 Defined cases: null is the empty text; texts under LENGTH bytes keep all; rows with one doc_id don't remove each
-other's bytes; a null doc_id counts as the largest; extra columns are ignored by the query and kept by the
-pipeline stage.
+other's bytes; a null doc_id counts as the largest; a text of any length is a unit by itself, sorted a slice after the other;
+an empty table gives an empty result; extra columns are ignored by the query and kept by the pipeline stage, whatever they are called.
 """
 
 from __future__ import annotations
@@ -33,9 +33,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.llm import _arrays as A
-from tessera.llm._exchange import NULL_ID, SHORT, keyed, shared_names
+from tessera.llm._exchange import NULL_ID, SHORT, digest, first_copies, keyed, packed_spans, shared_names, spread_join
 from tessera.llm._store import checkpoint, drop, n_parts, text_bytes
 
 LENGTH, Q = 50, 32
@@ -211,8 +212,8 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _hot_spans(rows: DataFrame) -> DataFrame:
     """What a smaller document holds of hot buckets' strings; each string's smallest document is found before the shuffle."""
     strings = rows.select("dk", "th", "start", "n", "snippet", "places").mapInArrow(_strings, "dk long, th binary, start long, string binary")
-    low = strings.groupBy("string").agg(F.min("dk").alias("low"))
-    return strings.join(low, "string").where("low < dk").select("dk", "th", "start", F.lit(1).cast("long").alias("n"))
+    low = strings.groupBy("string").agg(F.min("dk").alias("low"), F.max("dk").alias("high")).where("low < high").drop("high")
+    return spread_join(strings, low, "string").where("low < dk").select("dk", "th", "start", F.lit(1).cast("long").alias("n"))
 
 
 def _refined(table: pa.Table) -> pa.Table:
@@ -273,33 +274,16 @@ def _cut(data: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return b"".join([*kept, data[at:]])
 
 
-def _spans(table: pa.Table) -> pa.Table:
-    """The spans of each document of a group, packed."""
-    dk, start, n = (table[c].to_numpy().astype(np.int64) for c in ("dk", "start", "n"))
-    th = np.frombuffer(b"".join(table["th"].to_pylist()), "<u8").reshape(-1, 2)
-    order = np.lexsort((start, th[:, 1], th[:, 0], dk))
-    dk, th, both = dk[order], th[order], np.column_stack([start, n])[order].astype("<i8")
-    head = np.ones(len(dk), bool)
-    head[1:] = (dk[1:] != dk[:-1]) | (th[1:] != th[:-1]).any(1)
-    cuts = np.append(np.flatnonzero(head), len(dk)).tolist()
-    return pa.table([pa.array(dk[head]), pa.array([th[a].tobytes() for a in cuts[:-1]], pa.binary()), pa.array([both[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["dk", "th", "spans"])
-
-
-def _trimmed(columns: list[str]):
-    """The rows with the repeated bytes gone from their texts; texts that lose all are dropped by the caller."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in A.units(batches):
-            texts = []
-            for text, spans, copied in zip(unit["text"].to_pylist(), unit["__spans"].to_pylist(), unit["__copied"].to_pylist()):
-                if text is not None and (spans or copied):
-                    data = text.encode()
-                    text = _cut(data, *_marked(spans, len(data), copied)).decode("utf-8", "ignore")
-                texts.append(text)
-            unit = unit.set_column(unit.column_names.index("text"), "text", pa.array(texts, pa.string()))
-            yield from unit.select(columns).to_batches()
-
-    return run
+def _trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, text): the rows' structs as they are, and their texts without the repeated bytes."""
+    for unit in A.units(batches):
+        texts = []
+        for text, spans, copied in zip(unit["text"].to_pylist(), unit["spans"].to_pylist(), unit["copied"].to_pylist()):
+            if text is not None and (spans or copied):
+                data = text.encode()
+                text = _cut(data, *_marked(spans, len(data), copied)).decode("utf-8", "ignore")
+            texts.append(text)
+        yield from pa.table([unit["row"], pa.array(texts, pa.string())], names=["row", "text"]).to_batches()
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +307,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     classes = ids.groupBy("th").agg(F.min("dk").alias("rep"))
     found = checkpoint(shared_names(rows, _grams, n_parts(size, PART_BYTES, 8), True, False), "grams")
     reps = found.join(classes.select("th", F.col("rep").alias("dk")), ["dk", "th"], "left_semi").select("dk", "th", "names")
-    some = rows.join(reps, ["dk", "th"])
+    some = rows.join(reps, ["dk", "th"]).select("dk", "th", "text", "names").mapInArrow(first_copies, "dk long, th binary, text string, names binary")
     snippets = checkpoint(some.mapInArrow(_snippets, "dk long, th binary, start long, n int, key long, snippet binary, places binary"), "snippets")
     drop(found)
     todo = snippets.where("snippet is not null")
@@ -336,7 +320,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     spans = refined.unionByName(snippets.where("snippet is null").select("dk", "th", "start", F.col("n").cast("long")))
     spans = spans if hot_spans is None else spans.unionByName(hot_spans)
     spans = spans.withColumn("task", F.pmod(F.xxhash64("dk", "th"), F.lit(tasks)))
-    spans = checkpoint(spans.groupBy("task").applyInArrow(_spans, "dk long, th binary, spans binary"), "spans")
+    spans = checkpoint(spans.groupBy("task").applyInArrow(packed_spans, "dk long, th binary, spans binary"), "spans")
     drop(snippets)
     copied = ids.distinct().join(classes, "th").where("dk > rep").select("dk", "th", F.lit(True).alias("copied"))
     return spans.join(copied, ["dk", "th"], "full").withColumn("copied", F.coalesce("copied", F.lit(False)))
@@ -351,12 +335,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def trim(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, without their repeated bytes (a character cut in two goes whole); n_chars, if there, follows."""
-    found = repeats(docs).withColumnsRenamed({"dk": "__dk", "th": "__th", "spans": "__spans", "copied": "__copied"})
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = docs.withColumns({"__dk": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__th": F.unhex(F.md5(text))})
-    full = key.join(found, ["__dk", "__th"], "left").select(*docs.columns, "__spans", F.coalesce("__copied", F.lit(False)).alias("__copied"))
-    out = full.mapInArrow(_trimmed(docs.columns), docs.schema)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    row = F.struct(*(docs[c] for c in docs.columns if c != "text"))  # one column, whatever the names inside
+    plain = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("dk"), digest(plain).alias("th"), F.col("text").cast("string").alias("text"), row.alias("row"))
+    full = rows.join(repeats(docs), ["dk", "th"], "left").select("row", "text", "spans", F.coalesce("copied", F.lit(False)).alias("copied"))
+    out = full.mapInArrow(_trimmed, StructType([rows.schema["row"], rows.schema["text"]]))
+    length = lambda c: F.char_length("text").cast(docs.schema[c].dataType)
+    return out.select(*((F.col("text") if c == "text" else length(c) if c == "n_chars" else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,12 +13,14 @@ a boundary is allocated by an explicit rule:
 Under each rule a document's sections sum to its number of tokens.
 
 Defined cases: null or empty text is one empty section 0 with no tokens; a section without bytes gets none;
-repeated rows are counted each; extra columns are ignored.
+repeated rows are counted each; a text of any length is encoded whole (runs of white space too long for the splitting pattern's stack are
+split by rule, with the same tokens); an empty table gives no rows; extra columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,10 @@ from tessera.llm import _arrays as A
 #: Splits a text before merging: letters, digits, other marks (each after one optional blank), contractions, white space.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RULES = ("majority", "first", "proportional")
+#: The characters of Unicode's White_Space property.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of white space over this length are split without the pattern, which would need a step of its stack for each character.
+LONG_RUN = 20_000
 
 
 class Tokenizer:
@@ -46,10 +52,19 @@ class Tokenizer:
         for token, rank in ranks.items():
             self.length[rank] = len(token)
 
-    def spans(self, text: str) -> np.ndarray:
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.encoding.encode_to_numpy(text, disallowed_special=()), np.int64)
+
+    def spans(self, text: str, long_run: int = LONG_RUN) -> np.ndarray:
         """Byte offsets of the tokens; one more than there are tokens."""
-        out = self.length[np.asarray(self.encoding.encode_to_numpy(text, disallowed_special=()), np.int64)]
-        return np.concatenate([[0], np.cumsum(out)])
+        parts, at = [], 0
+        for run in re.finditer(f"[{WHITE}]{{{long_run},}}", text):
+            # the pattern takes a run as one part, but leaves its last character to what follows
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            parts += [self._ids(text[at : run.start()]), np.asarray(self.encoding._encode_single_piece(text[run.start() : end]), np.int64)]
+            at = end
+        parts.append(self._ids(text[at:]))
+        return np.concatenate([[0], np.cumsum(self.length[np.concatenate(parts)])])
 
 
 def attribute(tokens: np.ndarray, sections: np.ndarray, rule: str = "majority") -> tuple[np.ndarray, np.ndarray]:
@@ -117,16 +132,16 @@ def _counted(path: str, rule: str, given: bool):
 _OUT = "doc_id long, section int, start_char long, end_char long, n_tokens double, n_crossing long"
 
 
-def count_sections(docs: DataFrame, path: str, rule: str = "majority") -> DataFrame:
+def count_sections(docs: DataFrame, path: str, rule: str = "majority", section_ends: str | None = None) -> DataFrame:
     """One row for each section of every document.
 
-    Sections are lines, or those of a column ``section_ends`` (array of character offsets, ascending; the last
+    Sections are lines, or those of the named column (array of character offsets, ascending; the last
     section always reaches the text's end).
     """
     A.tune(docs.sparkSession)
-    given = "section_ends" in docs.columns
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(["section_ends"] if given else []))
-    out = rows.mapInArrow(_counted(path, rule, given), _OUT)
+    given = [F.col(section_ends).alias("section_ends")] if section_ends else []
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *given)
+    out = rows.mapInArrow(_counted(path, rule, bool(given)), _OUT)
     return out if rule == "proportional" else out.withColumn("n_tokens", F.col("n_tokens").cast("long"))
 
 

@@ -10,11 +10,12 @@ Shards are searched in batches of rows under a rising k-th best score, and their
 the smaller id; rows that tie with the k-th best stay competitive, so results are exact.
 
 Queries are searched in groups of about ``QUERY_BLOCK``, each broadcast to all shards; a group is bounded
-whatever the data, and every group goes over the whole index.
+whatever the data, goes over the whole index, and is written before the next begins, so neither plan nor driver grows with the number of groups.
 
 Defined cases: vectors that are null or hold a null or non-finite component, and null ids, take no part;
 shorter vectors are filled up with zeros; a repeated row is a candidate each time; a query's own id is no
-candidate; an empty table gives no rows.
+candidate; a query id with several different vectors is one query, with the k best scores of them all; an empty table gives no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import _arrays as A
+from tessera.llm._store import checkpoint, drop
 
 K, SCALE, QUERY_EVERY = 10, 1024, 100
 QUERY_BLOCK, SHARD_ROWS, BATCH_ROWS, PROBE = 4096, 16384, 4096, 8
@@ -123,14 +125,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     stats = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
     n, dims = stats[0], max(stats[1] or 0, 1)
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    index = vectors.repartition(max(1, -(-n // SHARD_ROWS)))
+    index = checkpoint(vectors.repartition(max(1, -(-n // SHARD_ROWS))), "index")
     found = None
-    for b in range(blocks):  # each group of queries is bounded; its results stay with the executors
+    for b in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).distinct().toArrow()
         ids = rows["vec_id"].to_numpy().astype(np.int64)
         shared = spark.sparkContext.broadcast((ids, _matrix(rows["v"], max(dims, 1))[:, :dims] if len(ids) else np.zeros((0, dims), np.int64)))
-        part = index.mapInArrow(_searched(shared, dims, k), "query_id long, vec_id long, score long")
+        part = checkpoint(index.mapInArrow(_searched(shared, dims, k), "query_id long, vec_id long, score long"), "best")
+        shared.unpersist()
         found = part if found is None else found.unionByName(part)
+    drop(index)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -137,13 +137,23 @@ def test_token_counts_sum_to_the_documents(spark):
         assert "".join((t or "")[a:b] for a, b in lines) == (t or "")
     assert token_counts.count_sections(plain(spark, rows).limit(0), token_counts.default_vocabulary()).count() == 0
     text, ends = token_counts.join_fields([F.col("text"), F.col("names"), F.col("source")], " | ")
-    fields = token_counts.count_sections(plain(spark, rows).withColumns({"section_ends": ends, "text": text}), token_counts.default_vocabulary())
+    fields = token_counts.count_sections(plain(spark, rows).withColumns({"e": ends, "section_ends": F.lit("a clash"), "text": text}), token_counts.default_vocabulary(), section_ends="e")
     assert fields.groupBy("doc_id").count().where("doc_id = 1").first()["count"] == 3
 
 
 # pieces
 
 
+def test_long_white_space_is_split_by_rule():
+    t = token_counts.Tokenizer(token_counts.default_vocabulary())
+    r = random.Random(1)
+    white = " \t\n\r\xa0  \x1c  "
+    for _ in range(400):
+        text = "".join(r.choice([r.choice(white) * r.randrange(1, 6), "".join(r.choice(white) for _ in range(4)), "ab", "9", "!?", "'s", "é"]) for _ in range(r.randrange(1, 12)))
+        assert t.spans(text).tolist() == t.spans(text, 3).tolist() == t.spans(text, 2).tolist()
+    assert len(t.spans(" " * 1_500_000)) > 1 and t.spans(" " * 1_500_000 + "x")[-1] == 1_500_001
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pieces.Vocabulary.load(pieces.default_model())
