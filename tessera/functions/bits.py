@@ -65,6 +65,34 @@ def negated(value: Column) -> Column:
     return F.bitwise_not(value)
 
 
+def inject_bits(bits: Sequence[Column]) -> Column:
+    """Bits, the lowest first, as one whole number."""
+    out = F.lit(0).cast("long")
+    for i, b in enumerate(bits):
+        out = out + F.shiftleft(b.cast("long"), i)
+    return out
+
+
+def to_words(data: Column, size: int) -> Column:
+    """The bytes of a binary as an array of unsigned whole numbers of ``size`` bytes (1, 2, 4), the lowest byte first; an error where they don't fill it."""
+    if size not in (1, 2, 4):
+        raise ValueError("a word has 1, 2 or 4 bytes")
+    checked = F.when(F.length(data) % size == 0, data).otherwise(F.raise_error(F.lit(f"not a multiple of {size} bytes")).cast("binary"))
+    parts = F.filter(F.split(F.regexp_replace(F.hex(checked), f"(.{{{2 * size}}})", "$1,"), ","), lambda x: x != "")
+    return F.transform(parts, lambda x: F.conv(F.concat(*[F.substring(x, 2 * k + 1, 2) for k in reversed(range(size))]), 16, 10).cast("long"))
+
+
+def from_words(words: Column, size: int) -> Column:
+    """The inverse of ``to_words``."""
+    one = lambda w: F.concat(*[F.lpad(F.hex(F.shiftrightunsigned(w, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(size)])
+    return F.unhex(F.concat_ws("", F.transform(words, one)))
+
+
+def cast_words(words: Column, size: int, to: int) -> Column:
+    """The same bytes as words of another size."""
+    return to_words(from_words(words, size), to)
+
+
 #: The gates of a bit circuit, over whole words at once.
 GATES = {
     "a": lambda a, b: a,
@@ -90,6 +118,12 @@ def circuit(gates: Sequence[tuple[str, int, int]], inputs: Sequence[Column]) ->
     return wires
 
 
+def inline(gates: Sequence[tuple[str, int, int]], inputs: Sequence[Column], outputs: Sequence[int]) -> list[Column]:
+    """A circuit as a part of another: the columns of its output wires, to be inputs there."""
+    wires = circuit(gates, inputs)
+    return [wires[i] for i in outputs]
+
+
 def multiplex(choice: Column, if_true: Column, if_false: Column) -> Column:
     return F.when(choice, if_true).otherwise(if_false)
 

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.bits import WIDE, wrap
+from tessera.operators.order import AT, RANGE, ranged
 from tessera.plans.schema import ColumnInfo, Kind, Schema
 from tessera.plans.table import ACTIVE, ROW_ID, FlagTable
 
@@ -66,14 +67,20 @@ def group_sum(table: FlagTable, key: str, sums: Sequence[str], compact: bool = T
 
 
 def _folded(table: FlagTable, k: ColumnInfo, infos: list[ColumnInfo], schema: Schema, reduce: Callable, count: str) -> FlagTable:
-    """A custom associative reduction in row order; a group must fit in a task's memory."""
-    rows = F.array_sort(F.collect_list(F.struct(ROW_ID, *[c.name for c in infos])))
-    got = table.df.where(ACTIVE).groupBy(k.name).agg(rows.alias("__rows"), F.count("*").alias(count), F.min(ROW_ID).alias(ROW_ID))
-    def step(name: str) -> Callable:
-        return lambda state, row: reduce(state, row[name])
-
-    folded = [F.reduce(F.slice("__rows", 2, F.size("__rows")), F.element_at("__rows", 1)[c.name], step(c.name)).alias(c.name) for c in infos]
-    return FlagTable(got.select(k.name, *folded, count, ROW_ID, F.lit(True).alias(ACTIVE)), schema)
+    """A custom associative reduction in row order: within each range of the order (key, row id), then over a key's ranges."""
+    names = [c.name for c in infos]
+
+    def fold(df: DataFrame, by: list[str], order: str, *others: Column) -> DataFrame:
+        rows = F.array_sort(F.collect_list(F.struct(order, *names))).alias("__rows")
+        step = lambda name: lambda state, row: reduce(state, row[name])
+        folded = [F.reduce(F.slice("__rows", 2, F.size("__rows")), F.element_at("__rows", 1)[n], step(n)).alias(n) for n in names]
+        kept = df.groupBy(*by).agg(rows, *others)
+        return kept.select(*folded, *[c for c in kept.columns if c != "__rows"])
+
+    rows = ranged(table.df.where(ACTIVE), [k.name, ROW_ID])
+    parts = fold(rows, [k.name, RANGE], AT, F.count("*").alias(count), F.min(ROW_ID).alias(ROW_ID))
+    got = fold(parts, [k.name], RANGE, F.sum(count).alias(count), F.min(ROW_ID).alias(ROW_ID))
+    return FlagTable(got.select(k.name, *names, count, ROW_ID, F.lit(True).alias(ACTIVE)), schema)
 
 
 def group_average(table: FlagTable, key: str, columns: Sequence[str]):

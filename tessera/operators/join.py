@@ -117,7 +117,9 @@ def right_union(left: FlagTable, right: FlagTable, left_key: str, right_key: str
         raise TypeError("columns of a union need one type")
     schema = Schema(tuple(ColumnInfo(a, left.schema[a].kind, left.schema[a].bits) for a, _ in columns))
     rest = anti_join(right, left, right_key, left_key).df
-    # ids of the two sides are kept apart by their parity
-    first = left.df.where(ACTIVE).select(*[a for a, _ in columns], (F.col(ROW_ID) * 2).alias(ROW_ID), ACTIVE)
-    second = rest.select(*[F.col(b).alias(a) for a, b in columns], (F.col(ROW_ID) * 2 + 1).alias(ROW_ID), ACTIVE)
+    # the side is a part of the id, so that ids of any kind stay apart, and left rows come first
+    kinds = [t.df.schema[ROW_ID].dataType for t in (left, right)]
+    ids = lambda side: F.struct(F.lit(side).alias("side"), *[(F.col(ROW_ID) if i == side else F.lit(None).cast(k)).alias(n) for i, (n, k) in enumerate(zip(("left", "right"), kinds))]).alias(ROW_ID)
+    first = left.df.where(ACTIVE).select(*[a for a, _ in columns], ids(0), ACTIVE)
+    second = rest.select(*[F.col(b).alias(a) for a, b in columns], ids(1), ACTIVE)
     return FlagTable(first.unionByName(second), schema)

@@ -38,11 +38,23 @@ def is_permutation(p: DataFrame) -> bool:
     """Both columns hold 0 to n - 1, each once."""
     n = p.count()
     for c in ("i", "pi"):
-        if n and (p.agg(F.min(c), F.max(c)).first() != (0, n - 1) or not p.groupBy(c).count().where("count > 1").isEmpty()):
+        if n and (tuple(p.agg(F.min(c), F.max(c)).first()) != (0, n - 1) or not p.groupBy(c).count().where("count > 1").isEmpty()):
             return False
     return True
 
 
+def shared_is_permutation(first: DataFrame, second: DataFrame) -> bool:
+    """Whether two shares (i, pi) of which the exclusive or is meant do stand for a permutation."""
+    both = first.join(second.withColumnRenamed("pi", "__other"), "i", "full")
+    return is_permutation(both.select("i", F.col("pi").bitwiseXOR(F.col("__other")).alias("pi")))
+
+
+def split(p: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Two shares (i, pi) whose exclusive or is the permutation; the mask is a hash of seed and place."""
+    mask = F.xxhash64(F.lit(seed), "i")
+    return p.select("i", mask.alias("pi")), p.select("i", F.col("pi").bitwiseXOR(mask).alias("pi"))
+
+
 def apply_shared(first: DataFrame, second: DataFrame, data: DataFrame, index: str = "i", inverted: bool = False) -> DataFrame:
     """A permutation held as two, second after first, applied in turn (in reverse if inverted)."""
     order = (second, first) if inverted else (first, second)

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.order import running_sum
+from tessera.operators.order import AT, RANGE, ranged, running_sum
 
 #: Combining operators by name; "dup" keeps the left operand.
 OPERATORS: dict[str, Callable[[Column], Column]] = {
@@ -32,38 +32,47 @@ def segment_ids(df: DataFrame, bits: Column, row_id: str, name: str = "seg") ->
 
 
 def segmented_scan(df: DataFrame, segment: str | list[str], row_id: str, value: Column, op: str | Callable[[Column, Column], Column] = "add", direction: str = "prefix", name: str = "y") -> DataFrame:
-    """The reduction of the values from the segment's start (prefix), to its end (suffix), or of all (full)."""
+    """The reduction of the values from the segment's start (prefix), to its end (suffix), or of all (full).
+
+    Rows are dealt by ranges of the order (segment, row_id) and scanned there; a segment that lies in several ranges gets what its rows in
+    the others add, one value for each range. So a segment of any size is spread over tasks.
+    """
     if direction not in DIRECTIONS:
         raise ValueError(f"direction must be one of {DIRECTIONS}")
     keys = [segment] if isinstance(segment, str) else segment
-    order = Window.partitionBy(*keys).orderBy(row_id)
-    frame = {
-        "prefix": order.rowsBetween(Window.unboundedPreceding, 0),
-        "suffix": order.rowsBetween(0, Window.unboundedFollowing),
-        "full": order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing),
-    }[direction]
-    if callable(op):  # any associative operator, folded in order
-        rows = F.collect_list(value).over(frame)
-        return df.withColumn(name, F.reduce(F.slice(rows, 2, F.size(rows)), F.element_at(rows, 1), op))
-    if direction == "full" and op != "dup":  # summed before the shuffle, then joined
+    if direction == "full" and not callable(op) and op != "dup":  # summed before the shuffle, then joined
         total = df.groupBy(*keys).agg(OPERATORS[op](value).alias(name))
         return df.join(total, keys)
-    return df.withColumn(name, OPERATORS[op](value).over(frame))
+    rows = ranged(df.withColumn("__x", value), [*keys, row_id])
+    start, end = Window.unboundedPreceding, Window.unboundedFollowing
+    inside = {"prefix": (start, 0), "suffix": (0, end), "full": (start, end)}[direction]
+    outside = {"prefix": [(start, -1)], "suffix": [(1, end)], "full": [(start, -1), (1, end)]}[direction]
+
+    def over(column: str, window, frame) -> Column:
+        w = window.rowsBetween(*frame)
+        if not callable(op):
+            return OPERATORS[op](column).over(w)
+        found = F.collect_list(column).over(w)  # any associative operator, folded in order
+        return F.when(F.size(found) > 0, F.reduce(F.slice(found, 2, F.greatest(F.size(found), F.lit(1))), F.element_at(found, F.lit(1)), op))
+
+    named = {"add": lambda a, b: a + b, "xor": lambda a, b: a.bitwiseXOR(b), "and": lambda a, b: a.bitwiseAND(b), "or": lambda a, b: a.bitwiseOR(b), "min": F.least, "max": F.greatest, "dup": lambda a, b: a}
+    join_two = op if callable(op) else named[op]
+    both = lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(join_two(a, b))
+    # keys that begin a range are the only ones that can lie in several: one or two rows for each range
+    edges = rows.where(F.col(AT) == 0).select(*[F.col(k).alias(f"__e_{k}") for k in keys]).distinct()
+    same = lambda prefix: F.forall(F.array(*[F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys]), lambda x: x) if len(keys) > 1 else F.col(keys[0]).eqNullSafe(F.col(f"{prefix}{keys[0]}"))
+    last = rows.join(F.broadcast(edges), same("__e_"), "left_semi").withColumn("__local", over("__x", Window.partitionBy(RANGE, *keys).orderBy(AT), (start, end)))
+    totals = last.groupBy(RANGE, *keys).agg(F.first("__local").alias("__t"))
+    carry = totals.select(F.col(RANGE).alias("__r"), *[F.col(k).alias(f"__c_{k}") for k in keys], *[over("__t", Window.partitionBy(*keys).orderBy(RANGE), f).alias(f"__o{i}") for i, f in enumerate(outside)])
+    local = rows.withColumn(name, over("__x", Window.partitionBy(RANGE, *keys).orderBy(AT), inside))
+    out = local.join(F.broadcast(carry), (F.col(RANGE) == F.col("__r")) & same("__c_"), "left")
+    y, first, later = F.col(name), F.col("__o0"), F.col("__o1") if direction == "full" else None
+    y = both(y, first) if direction == "suffix" else both(first, y)
+    y = both(y, later) if direction == "full" else y
+    return out.withColumn(name, y).select(*df.columns, name)
 
 
 def bit_segments_scan(df: DataFrame, bits: Column, row_id: str, value: Column, op: str = "add", direction: str = "prefix", name: str = "y") -> DataFrame:
     """A segmented scan where control bits delimit the segments."""
     rows = segment_ids(df, bits, row_id, "__seg")
     return segmented_scan(rows, "__seg", row_id, value, op, direction, name).drop("__seg")
-
-
-def prefix_sum_by_ranges(df: DataFrame, key: str, row_id: str, value: Column, name: str = "y") -> DataFrame:
-    """The segmented prefix sum of a long where one key may hold a large share of all rows.
-
-    A running sum over the order (key, row_id), dealt by ranges, less what it was before the key's first row; so a key's rows may lie in
-    many tasks. The whole column's sum must fit a long.
-    """
-    rows = running_sum(df.withColumn("__x", value.cast("long")), F.col("__x"), [key, row_id], "__run")
-    before = rows.groupBy(key).agg(F.min_by(F.col("__run") - F.col("__x"), row_id).alias("__before"))
-    hit = rows.join(before, rows[key].eqNullSafe(before[key])).drop(before[key])
-    return hit.withColumn(name, F.col("__run") - F.col("__before")).drop("__run", "__before", "__x")

@@ -62,6 +62,14 @@ def one_hot(value: Column, n: int, prefix: str = "f") -> list[Column]:
     return [F.when(value == j, 1).otherwise(0).alias(f"{prefix}{j}") for j in range(n)]
 
 
+def hadamard_sum(flags: Sequence[Column], values: Sequence[Column]) -> Column:
+    """The sum of the values whose flags are set: with one-hot flags, the value that belongs to the row's digit."""
+    out = F.lit(0).cast("long")
+    for f, v in zip(flags, values, strict=True):
+        out = out + f.cast("long") * v.cast("long")
+    return out
+
+
 def digit_pass(df: DataFrame, value: Column, row_id: str, name: str = "dst") -> DataFrame:
     """The place of each row after one stable pass by a digit: the rows of smaller digits, and those before it of its own."""
     return positions(df.withColumn("__digit", value), ["__digit", row_id], name).drop("__digit")

@@ -13,7 +13,7 @@ from enum import IntEnum
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.bits import wrap
+from tessera.functions.bits import low_bits, wrap
 from tessera.plans.schema import Kind, Schema
 
 
@@ -71,13 +71,29 @@ def literal(text: str, kind: Kind) -> Operand:
     return Operand(F.lit(data), kind, max(1, 8 * len(data)))
 
 
+def bits_of(a: Operand, bits: int) -> Column:
+    """The bits of an operand as hex of its bytes, the lowest first, filled up to a width: whole numbers by their sign, others with zeros."""
+    size = -(-bits // 8)
+    if a.kind in (Kind.STRING, Kind.BIN):
+        return F.rpad(F.hex(a.column.cast("binary") if a.kind == Kind.STRING else a.column), 2 * size, "0")
+    if a.bits > 64:
+        raise TypeError("whole numbers of more than 64 bits are compared with their kind only")
+    value = a.column.cast("int").cast("long") if a.kind == Kind.BOOLEAN else a.column.cast("long")
+    word = F.lpad(F.hex(low_bits(value, bits)), 16, "0")
+    low = F.concat(*[F.substring(word, 15 - 2 * i, 2) for i in range(min(size, 8))])
+    if size <= 8:
+        return low
+    rest, top = size - 8, bits % 8  # of a width that ends inside a byte the bits above are zero
+    fill = "FF" * (rest - bool(top)) + (f"{2**top - 1:02X}" if top else "")
+    return F.concat(low, F.when(value < 0, F.lit(fill)).otherwise(F.lit("00" * rest)))
+
+
 def apply(op: Op, a: Operand, b: Operand) -> Operand:
-    """The result of one gate."""
+    """The result of one gate. Operands of different kinds are equal if their bits are, at the greater of their widths."""
     bits = max(a.bits, b.bits)
     if op in (Op.EQUALS, Op.NOT_EQUALS):
-        if a.kind != b.kind:
-            raise TypeError(f"{op.name} needs operands of one kind")
-        return Operand(a.column == b.column if op == Op.EQUALS else a.column != b.column, Kind.BOOLEAN, 1)
+        x, y = (a.column, b.column) if a.kind == b.kind else (bits_of(a, bits), bits_of(b, bits))
+        return Operand(x == y if op == Op.EQUALS else x != y, Kind.BOOLEAN, 1)
     if op in (Op.AND, Op.OR, Op.XOR):
         if a.kind != Kind.BOOLEAN or b.kind != Kind.BOOLEAN:
             raise TypeError(f"{op.name} needs booleans")

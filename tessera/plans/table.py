@@ -19,7 +19,7 @@ ROW_ID, ACTIVE = "__row_id", "is_active"
 
 @dataclass(frozen=True)
 class FlagTable:
-    """df has the schema's columns, ROW_ID (long, unique) and ACTIVE (boolean)."""
+    """df has the schema's columns, ROW_ID (unique: a long, or a struct of a composite id) and ACTIVE (boolean)."""
 
     df: DataFrame
     schema: Schema
@@ -27,12 +27,12 @@ class FlagTable:
     # construction
 
     @staticmethod
-    def of(df: DataFrame, row_id: Column | str, active: Column | None = None, schema: Schema | None = None) -> FlagTable:
-        """A table over the columns of ``df``; row_id: a unique whole number for each row. Without ``active`` all rows count."""
+    def of(df: DataFrame, row_id: Column | str | Sequence[str], active: Column | None = None, schema: Schema | None = None) -> FlagTable:
+        """A table over the columns of ``df``; row_id: a whole number, or several columns, unique for each row. Without ``active`` all rows count."""
         schema = schema or Schema.from_struct(df.schema, (ROW_ID, ACTIVE))
-        key = F.col(row_id) if isinstance(row_id, str) else row_id
+        key = F.col(row_id).cast("long") if isinstance(row_id, str) else row_id.cast("long") if isinstance(row_id, Column) else F.struct(*row_id)
         flag = F.lit(True) if active is None else F.coalesce(active.cast("boolean"), F.lit(False))
-        return FlagTable(df.select(*schema.names, key.cast("long").alias(ROW_ID), flag.alias(ACTIVE)), schema)
+        return FlagTable(df.select(*schema.names, key.alias(ROW_ID), flag.alias(ACTIVE)), schema)
 
     @staticmethod
     def zeros(spark: SparkSession, rows: int, schema: Schema) -> FlagTable:
@@ -91,7 +91,23 @@ class FlagTable:
 
     def extract_shuffled(self, seed: int = 0) -> FlagTable:
         """Only active rows under new ids in an order that the seed decides (a hash of the row id, so a recomputed task agrees)."""
-        return self.with_df(self.df.where(ACTIVE).withColumn(ROW_ID, F.xxhash64(ROW_ID, F.lit(seed))))
+        return self.with_df(self.df.where(ACTIVE).withColumn(ROW_ID, F.struct(F.xxhash64(ROW_ID, F.lit(seed)).alias("place"), F.col(ROW_ID).alias("was"))))
+
+    def rows_between(self, first: int, count: int | None = None) -> FlagTable:
+        """``count`` rows (without it, all) from row id ``first`` on, of a table whose row ids count from 0, under ids from 0."""
+        n = self.rows()
+        count = n - first if count is None else count
+        if not 0 <= first < n or first + count > n:
+            raise ValueError(f"rows {first} to {first + count} of a table of {n}")
+        at = F.col(ROW_ID)
+        return self.with_df(self.df.where((at >= first) & (at < first + count)).withColumn(ROW_ID, at - first))
+
+    def reshape(self, name: str, bits: int) -> FlagTable:
+        """The table with a column declared at another width, within the bytes that the column has."""
+        c = self.schema[name]
+        if bits > 8 * c.n_bytes:
+            raise ValueError(f"{name} has {c.n_bytes} bytes")
+        return FlagTable(self.df, Schema(tuple(ColumnInfo(k.name, k.kind, bits) if k.name == name else k for k in self.schema.columns)))
 
     def compact(self) -> DataFrame:
         """The columns of the active rows."""

@@ -31,6 +31,21 @@ def stream_window_sum(stream: DataFrame, time: str, length: str, late: str, key:
     return rows.groupBy(F.window(time, length), key).agg(F.sum(value).alias(value), F.count("*").alias("Count"))
 
 
+def to_table(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Runs a stream to the end of what is there now, into a Parquet table that executors write.
+
+    complete: each batch writes the whole result anew, so the table is that of the last one.
+    """
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    out = f"{path}/rows"
+    if mode == "append":
+        query = writer.format("parquet").start(out)
+    else:
+        query = writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(out)).start()
+    query.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
 def to_memory(df: DataFrame, name: str, mode: str = "append") -> StreamingQuery:
     """Runs a stream to the end of what is there now, into a table in memory (for tests)."""
     query = df.writeStream.outputMode(mode).format("memory").queryName(name).start()

@@ -45,8 +45,8 @@ def test_flagship_prunes_columns_and_pushes_filters(spark):
 
 def test_shuffle_and_resize_cover_whole_tables(spark, duck):
     parts, customers = (duck.sql(f"select count(*) from {t}").fetchall()[0][0] for t in ("part", "customer"))
-    assert sorted(r["dst"] for r in QUERIES["perfect_shuffle_whole"](spark, SF).collect()) == list(range(parts))
-    assert sorted(r["i"] for r in QUERIES["table_resize_whole"](spark, SF).collect()) == list(range(6 * customers // 5))
+    assert sorted(r["dst"] for r in QUERIES["perfect_shuffle"](spark, SF).collect()) == list(range(parts))
+    assert sorted(r["i"] for r in QUERIES["table_resize"](spark, SF).collect()) == list(range(6 * customers // 5))
 
 
 def test_no_global_order_runs_in_one_task(spark):

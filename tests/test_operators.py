@@ -340,7 +340,7 @@ def test_padded_and_compact_agree(spark):
 def test_prefix_sum_of_a_hot_key(spark):
     data = [(i, None if i % 50 == 0 else "hot" if i % 3 else f"k{i % 7}", i % 11 - 5) for i in range(400)]
     df = spark.createDataFrame(data, "i long, k string, v long")
-    got = {r["i"]: r["y"] for r in scan.prefix_sum_by_ranges(df, "k", "i", F.col("v")).collect()}
+    got = {r["i"]: r["y"] for r in scan.segmented_scan(df, "k", "i", F.col("v")).collect()}
     expected, sums = {}, {}
     for i, k, v in data:
         sums[k] = expected[i] = sums.get(k, 0) + v
