@@ -11,8 +11,9 @@
 4. *Star round.* Every class of a bucket is paired with the first one there. The joint likelihood of the
    registers' comparison estimates the pair's similarity; pairs ``SIGMAS`` under the threshold go (3e-7 of those at it), the others are verified.
 5. *The rest.* Where a bucket still holds several components, each class outside the first class's component is compared with the classes
-   of other components, first by registers alone, in blocks, once for each pair (in the first band that holds it). What the estimate
-   leaves is verified, unless its components have been joined by then.
+   of other components, by registers alone, in blocks, once for each pair (in the first band that holds it). Its likeliest partner is
+   verified at once, which joins most of what belongs together. Classes that still have a pair left meet with their texts, block by block, and
+   every pair is verified there unless its components have been joined by then: pairs never leave a task.
 
 *Verification* counts the shingles themselves: the texts of a group of pairs go to a task once each, where words and shingles get numbers
 that are equal only for equal content. A group too large for one task is dealt over a grid of blocks. So a text travels
@@ -43,7 +44,9 @@ M, BANDS, BAND, BASE = 128, 25, 5, 1.02
 #: Estimates this far under the threshold (in standard deviations of a register count) are hopeless.
 SIGMAS = 5.0
 #: Shingles on each side of a verified block, and sketches on each side of a compared one.
-BLOCK_SHINGLES, BLOCK_SKETCHES = 1_000_000, 4096
+BLOCK_SHINGLES, BLOCK_SKETCHES = 1_000_000, 2048
+#: Rounds in which a class tries its likeliest partner before all pairs that are left are verified.
+TRIES = 2
 NULL_ID = 2**63 - 1
 U64 = np.uint64
 
@@ -165,37 +168,73 @@ def least_estimate(rule: Rule) -> float:
     return j - SIGMAS * (j * (1 - j) / M) ** 0.5
 
 
-def _compared(rule: Rule):
-    """Pairs of a block of sketches that an estimate leaves: other components, no pivot, and no earlier band in common.
+def _candidates(table: pa.Table, rule: Rule, once: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Left rows, right rows and estimates of the pairs of a block of sketches that an estimate leaves: other components and no earlier band in common.
 
-    Of two classes outside the pivot's component each pair comes once, with the greater component first.
+    once: of two classes outside the pivot's component each pair comes once, with the greater component on the left.
     """
     least = least_estimate(rule)
+    comp, n, band = (table[c].to_numpy().astype(np.int64) for c in ("c", "n", "band"))
+    left, minor = (table[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("is_left", "minor"))
+    regs = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint16).reshape(-1, M)
+    ri = np.flatnonzero(~left)
+    ours, theirs, estimates = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for k in np.flatnonzero(left).tolist():
+        r = ri[(comp[ri] != comp[k]) & (rule.den * np.minimum(n[ri], n[k]) >= rule.num * np.maximum(n[ri], n[k]))]
+        if once:
+            r = r[~minor[r] | (comp[r] < comp[k])]
+        equal = regs[r] == regs[k]
+        stay = equal.sum(1) >= least * M
+        r, equal = r[stay], equal[stay]
+        if len(r):
+            common = equal[:, : BANDS * BAND].reshape(len(r), BANDS, BAND).all(2)
+            estimate = similarity(regs[k], regs[r], np.full(len(r), float(n[k])), n[r].astype(np.float64))
+            stay = (common.argmax(1) == band[k]) & (estimate >= least)
+            ours.append(np.full(int(stay.sum()), k)), theirs.append(r[stay]), estimates.append(estimate[stay])
+    return np.concatenate(ours), np.concatenate(theirs), np.concatenate(estimates)
+
+
+def _best(rule: Rule):
+    """Of a block of sketches: for each class outside the pivot's component the one pair with the greatest estimate."""
 
     def run(table: pa.Table) -> pa.Table:
-        cid, comp, n, band = (table[c].to_numpy().astype(np.int64) for c in ("cid", "c", "n", "band"))
-        left, minor = (table[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("is_left", "minor"))
-        regs = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint16).reshape(-1, M)
-        li, ri = np.flatnonzero(left), np.flatnonzero(~left)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for k in li.tolist():
-            r = ri[(comp[ri] != comp[k]) & (~minor[ri] | (comp[ri] < comp[k]))]
-            r = r[(rule.den * np.minimum(n[r], n[k]) >= rule.num * np.maximum(n[r], n[k]))]
-            equal = regs[r] == regs[k]
-            stay = equal.sum(1) >= least * M
-            r, equal = r[stay], equal[stay]
-            if not len(r):
-                continue
-            common = equal[:, : BANDS * BAND].reshape(len(r), BANDS, BAND).all(2)
-            stay = (common.argmax(1) == band[k]) & (similarity(regs[k], regs[r], np.full(len(r), float(n[k])), n[r].astype(np.float64)) >= least)
-            r = r[stay]
-            found.append((np.full(len(r), k), r))
-        i, j = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        i, j, estimate = _candidates(table, rule, False)
+        cid, comp, n = (table[c].to_numpy().astype(np.int64) for c in ("cid", "c", "n"))
+        order = np.lexsort((cid[j], -estimate, i))
+        i, j = i[order], j[order]
+        first = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.zeros(0, bool)
+        i, j = i[first], j[first]
         return pa.table([pa.array(a) for a in (cid[i], cid[j], n[i], n[j], comp[i], comp[j])], names=["x", "y", "nx", "ny", "cx", "cy"])
 
     return run
 
 
+def _meeting(rule: Rule):
+    """The rows of a block of sketches that are in some pair."""
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j, _ = _candidates(table, rule, True)
+        return table.take(pa.array(np.unique(np.concatenate([i, j]))))
+
+    return run
+
+
+def _settled(rule: Rule):
+    """Links (cx, cy) that join components, of a block of sketches with texts: all its pairs are verified, the likeliest first."""
+    verify = _verified(rule)
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j, estimate = _candidates(table, rule, True)
+        cid, comp = (table[c].to_numpy().astype(np.int64) for c in ("cid", "c"))
+        _, own = np.unique(cid, return_index=True)
+        none = pa.nulls(len(own), pa.int64())
+        nodes = pa.table([pa.array(cid[own]), none, none, none, table["text"].take(pa.array(own))], names=["x", "y", "cx", "cy", "text"])
+        pairs = pa.table([*(pa.array(a) for a in (cid[i], cid[j], comp[i], comp[j])), pa.nulls(len(i), pa.string())], names=nodes.column_names)
+        return verify(pa.concat_tables([nodes, pairs])).select(["cx", "cy"])
+
+    return run
+
+
 def _verified(rule: Rule):
     """Links (x, y, cx, cy) of a task that join components: rows with a text (node x) and pairs without one."""
 
@@ -259,52 +298,85 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from unit.select(["cid", "text"]).filter(pa.array(keep, pa.bool_())).to_batches()
 
 
+def _texts(cids: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cid, text) of the classes' first rows."""
+    some = cids.select("cid").distinct().join(classes.select("cid", "sid", "rep", "th"), "cid")
+    found = rows.join(some, (rows["dk"] == some["rep"]) & (F.xxhash64(rows["text"]) == some["th"]))
+    return found.select("cid", "sid", "text").mapInArrow(_once, "cid long, text string")
+
+
 def _links(pairs: DataFrame, rows: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """(cx, cy): components joined by pairs (x, y, nx, ny, cx, cy, g) whose full sets are similar enough.
 
     Pairs of one g meet in one task, or in a grid of blocks over x and y if their texts are many. A text goes once to each task.
     """
     pairs = checkpoint(pairs, "pairs")
-    sides = [pairs.select("g", F.col(k).alias("cid"), F.col(f"n{k}").alias("n")).distinct().groupBy("g").agg(F.sum("n").alias(f"s{k}")) for k in "xy"]
-    cells = sides[0].join(sides[1], "g").select("g", F.ceil(F.col("sx") / BLOCK_SHINGLES).alias("lefts"), F.ceil(F.col("sy") / BLOCK_SHINGLES).alias("rights"), (F.col("sx") + F.col("sy")).alias("size"))
-    cells = checkpoint(cells, "cells")
-    tasks = n_parts(cells.agg(F.sum("size")).first()[0] or 0, BLOCK_SHINGLES)
-    whole = (F.col("lefts") == 1) & (F.col("rights") == 1)
-    cell = F.xxhash64("g", F.pmod(F.xxhash64("x"), "lefts"), F.pmod(F.xxhash64("y"), "rights"))
-    pairs = pairs.join(cells, "g").withColumn("task", F.when(whole, F.pmod(F.xxhash64("g"), F.lit(tasks))).otherwise(cell))
-    pairs = checkpoint(pairs.select("task", "x", "y", "cx", "cy"), "pairs")
-    members = pairs.select("task", F.col("x").alias("cid")).union(pairs.select("task", F.col("y").alias("cid"))).distinct()
-    members = checkpoint(members, "members")
-    some = members.select("cid").distinct().join(classes.select("cid", "sid", "rep", "th"), "cid")
-    texts = rows.join(some, (rows["dk"] == some["rep"]) & (F.xxhash64(rows["text"]) == some["th"])).select("cid", "sid", "text").mapInArrow(_once, "cid long, text string")
+    sides = [pairs.select("g", F.col(k).alias("cid"), F.col(f"n{k}").alias("n")).distinct().groupBy("g").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias(f"b{k}")) for k in "xy"]
+    tasks = n_parts(2 * (pairs.agg(F.sum("nx")).first()[0] or 0), BLOCK_SHINGLES)
+    cell = F.xxhash64("g", F.pmod(F.xxhash64("x"), "bx"), F.pmod(F.xxhash64("y"), "by"))
+    whole = (F.col("bx") == 1) & (F.col("by") == 1)
+    dealt = pairs.join(sides[0].join(sides[1], "g"), "g").withColumn("task", F.when(whole, F.pmod(F.xxhash64("g"), F.lit(tasks))).otherwise(cell))
+    dealt = checkpoint(dealt.select("task", "x", "y", "cx", "cy"), "pairs")
+    members = dealt.select("task", F.col("x").alias("cid")).union(dealt.select("task", F.col("y").alias("cid"))).distinct()
     none = F.lit(None).cast("long")
-    work = members.join(texts, "cid").select("task", F.col("cid").alias("x"), none.alias("y"), none.alias("cx"), none.alias("cy"), "text")
-    work = work.union(pairs.select("task", "x", "y", "cx", "cy", F.lit(None).cast("string").alias("text")))
+    work = members.join(_texts(members, rows, classes), "cid").select("task", F.col("cid").alias("x"), none.alias("y"), none.alias("cx"), none.alias("cy"), "text")
+    work = work.union(dealt.select("task", "x", "y", "cx", "cy", F.lit(None).cast("string").alias("text")))
     found = checkpoint(work.groupBy("task").applyInArrow(_verified(rule), "x long, y long, cx long, cy long").select("cx", "cy").distinct(), "links")
-    for table in (cells, members, pairs):
-        drop(table)
+    drop(pairs)
+    drop(dealt)
     return found
 
 
-def _rest(buckets: DataFrame, classes: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of classes that share a bucket of three or more and may be similar, without pivots, from different components."""
+_BLOCK = "band int, key long, lb long, rb long, is_left boolean, minor boolean, cid long, c long, n long, regs binary"
+
+
+def _blocks(buckets: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Sketches of the buckets that hold several components, without pivots, in blocks: classes outside the pivot's component (left) against all.
+
+    Each pair is compared in some block; the rows grow with the square of a bucket over BLOCK_SKETCHES only.
+    """
     rows = buckets.where("size > 2").join(labels.select(F.col("node").alias("cid"), F.col("component").alias("c")), "cid", "left").withColumn("c", F.coalesce("c", "cid"))
     rows = checkpoint(rows, "members")
     main = rows.where("cid = pivot").select("band", "key", F.col("c").alias("main"))
     several = rows.groupBy("band", "key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("band", "key")
     some = rows.join(several, ["band", "key"], "left_semi").where("cid <> pivot").join(main, ["band", "key"]).withColumn("minor", F.col("c") != F.col("main"))
     some = checkpoint(some.join(classes.select("cid", "n", "regs"), "cid"), "sketches")
+    drop(rows)
     shape = some.groupBy("band", "key").agg(F.ceil(F.sum(F.col("minor").cast("int")) / BLOCK_SKETCHES).alias("lefts"), F.ceil(F.count("*") / BLOCK_SKETCHES).alias("rights")).where("lefts > 0")
-    shape = shape.withColumn("whole", (F.col("lefts") == 1) & (F.col("rights") == 1))
     some = some.join(shape, ["band", "key"])
     h = F.xxhash64("cid", "band")
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = some.where("minor").withColumns({"lb": F.pmod(h, "lefts"), "rb": numbers("rights"), "is_left": F.lit(True)})
     right = some.withColumns({"lb": numbers("lefts"), "rb": F.pmod(h, "rights"), "is_left": F.lit(False)})
-    cols = ["band", "key", "lb", "rb", "is_left", "minor", "cid", "c", "n", "regs"]
-    work = left.select(*cols).union(right.select(*cols))
-    found = work.groupBy("band", "key", "lb", "rb").applyInArrow(_compared(rule), "x long, y long, nx long, ny long, cx long, cy long")
-    return found.withColumn("g", F.col("cy"))
+    cols = [f.split()[0] for f in _BLOCK.split(", ")]
+    return left.select(*cols).union(right.select(*cols))
+
+
+def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels after links between components: components of components."""
+    again = components(more.toDF("x", "y")).toDF("component", "joined")
+    every = labels.union(again.select(F.col("component").alias("node"), "component")).distinct()  # with classes that had no link before
+    return checkpoint(every.join(again, "component", "left").groupBy("node").agg(F.min(F.coalesce("joined", "component")).alias("component")), "labels")
+
+
+def _rest(buckets: DataFrame, rows: DataFrame, classes: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
+    """Labels after the links between components that share a bucket of three or more classes.
+
+    First each class outside its pivot's component tries its likeliest partner, which joins most of what belongs together. What is
+    then left in a block with a pair meets with its text and all pairs are verified there, so that pairs never leave a task.
+    """
+    cell = ["band", "key", "lb", "rb"]
+    for _ in range(TRIES):
+        best = _blocks(buckets, classes, labels).groupBy(*cell).applyInArrow(_best(rule), "x long, y long, nx long, ny long, cx long, cy long")
+        more = _links(best.distinct().withColumn("g", F.col("cy")), rows, classes, rule)
+        if more.isEmpty():
+            break
+        labels = _joined(labels, more)
+    meeting = checkpoint(_blocks(buckets, classes, labels).groupBy(*cell).applyInArrow(_meeting(rule), _BLOCK), "meeting")
+    work = meeting.join(_texts(meeting, rows, classes), "cid")
+    more = checkpoint(work.groupBy(*cell).applyInArrow(_settled(rule), "cx long, cy long").distinct(), "links")
+    drop(meeting)
+    return labels if more.isEmpty() else _joined(labels, more)
 
 
 def near_duplicates(rows: DataFrame, rule: Rule = Rule(), merge: bool = True) -> DataFrame:
@@ -336,11 +408,7 @@ def near_duplicates(rows: DataFrame, rule: Rule = Rule(), merge: bool = True) ->
         same = checkpoint(mine.join(several, "dk").select("cx", F.col("cid").alias("cy")).where("cx <> cy").distinct(), "links")
         links = links.union(same)
     labels = components(links.toDF("x", "y"))
-    more = _links(_rest(buckets, classes, labels, rule), rows, classes, rule)
-    if not more.isEmpty():  # components of components
-        again = components(more.toDF("x", "y")).toDF("component", "joined")
-        all_labels = labels.union(again.select(F.col("component").alias("node"), "component")).distinct()  # classes that had no link before
-        labels = checkpoint(all_labels.join(again, "component", "left").groupBy("node").agg(F.min(F.coalesce("joined", "component")).alias("component")), "labels")
+    labels = _rest(buckets, rows, classes, labels, rule)
     named = labels.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
     named = named.join(named.groupBy("component").agg(F.min("rep").alias("first")), "component").select(F.col("node").alias("cid"), "first")
     of_class = checkpoint(classes.select("sid", "cid", "rep").join(named, "cid", "left").select("sid", F.coalesce("first", "rep").alias("first")), "first")
