@@ -5,6 +5,10 @@ finds names held by two different texts, and answers each unit; the answers beco
 A name that is already known to be shared inside a unit is answered there and sent on once,
 so a part gets at most one row's entry from each unit for a name in however many documents it occurs.
 Rows are blobs of arrays, so the shuffle moves 8 to 20 bytes for a name.
+
+With more than ``FAN`` parts a unit's row for one part would hold few names. Then a unit sends to ``FAN`` groups of parts, and what
+``GROUP`` units sent to one of those is merged there (names found to be shared are answered and sent on once again) and dealt to its
+parts; answers go back the same way. So rows stay packed, and a frequent name thins out, at any size.
 """
 
 from __future__ import annotations
@@ -20,9 +24,14 @@ from pyspark.sql import functions as F
 from tessera.llm import _arrays as A
 
 NULL_ID = 2**63 - 1
-#: Bits that a short name keeps.
+#: Bits of a name that travel: a false match is found out where strings or words are compared.
 SHORT = np.uint64(2**64 - 2**16)
-_SENT = "part long, unit long, answered boolean, ids binary, texts binary, owners binary, names binary, more binary, known binary"
+#: Parts that a unit sends to; units whose rows are merged where parts are more.
+FAN, GROUP = 2048, 1024
+_BLOB = "ids binary, texts binary, units binary, owners binary, names binary, known binary"
+_ROW = f"part long, team long, answered boolean, {_BLOB}"
+_KINDS = [pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 6]
+_NAMES = [f.split()[0] for f in _ROW.split(", ")]
 
 
 def digest(text: Column) -> Column:
@@ -65,154 +74,172 @@ def spread_join(rows: DataFrame, found: DataFrame, on: str, salts: int = 16) ->
     return rows.withColumn("salt", salt).join(found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), [on, "salt"]).drop("salt")
 
 
-def _pack(names: np.ndarray, short: bool) -> bytes:
-    return np.ascontiguousarray(names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes() if short else names.astype("<u8").tobytes()
-
-
-def _unpack(data: bytes, short: bool) -> np.ndarray:
-    if not short:
-        return np.frombuffer(data, "<u8")
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").reshape(-1)
-
-
-def groups(first: np.ndarray, second: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """An order that sorts the names, and in it the flags of the first of each."""
-    order = np.argsort(first, kind="stable") if second is None else np.lexsort((second, first))
-    head = np.ones(len(order), bool)
-    f = first[order]
-    head[1:] = f[1:] != f[:-1]
-    if second is not None:
-        s = second[order]
-        head[1:] |= s[1:] != s[:-1]
-    return order, head
-
+class Entries:
+    """Names, each with its document: ids, texts (digests) and units of documents, then owner (row there), name and known for each entry."""
+
+    def __init__(self, ids: np.ndarray, texts: np.ndarray, units: np.ndarray, owner: np.ndarray, names: np.ndarray, known: np.ndarray):
+        self.ids, self.texts, self.units, self.owner, self.names, self.known = ids, texts, units, owner, names, known
+
+    @staticmethod
+    def read(rows: list[dict]) -> Entries:
+        parts = []
+        base = 0
+        for r in rows:
+            packed = np.frombuffer(r["names"], np.uint8).reshape(-1, 6)
+            names = np.zeros((len(packed), 8), np.uint8)
+            names[:, 2:] = packed
+            n, docs = len(packed), len(r["ids"]) // 8
+            owner = np.frombuffer(r["owners"], "<u2" if len(r["owners"]) == 2 * n else "<u4").astype(np.int64)
+            units = np.frombuffer(r["units"], "<i8")
+            known = np.unpackbits(np.frombuffer(r["known"], np.uint8), count=n).astype(bool)
+            parts.append((np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["texts"], "S16"), np.broadcast_to(units, docs) if len(units) == 1 else units, owner + base, names.view("<u8").reshape(-1), known))
+            base += docs
+        return Entries(*(np.concatenate(c) for c in zip(*parts)))
+
+    def blob(self, pick: np.ndarray, known: np.ndarray) -> tuple[bytes, ...]:
+        """Some of the entries, with the documents that hold them."""
+        used, local = np.unique(self.owner[pick], return_inverse=True)
+        names = np.ascontiguousarray(self.names[pick].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:])
+        units = self.units[used]
+        units = units[:1] if len(units) and (units == units[0]).all() else units
+        return self.ids[used].astype("<i8").tobytes(), self.texts[used].tobytes(), units.astype("<i8").tobytes(), local.astype("<u2" if len(used) < 2**16 else "<u4").tobytes(), names.tobytes(), np.packbits(known).tobytes()
+
+    def resolve(self, repeats: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entries whose name is found to be shared here; entries to send on; and whether those are of shared names.
+
+        repeats: a name that one document holds twice counts as shared.
+        """
+        order = np.lexsort((self.owner, self.names))
+        name, owner, known = self.names[order], self.owner[order], self.known[order]
+        head = np.ones(len(order), bool)
+        head[1:] = name[1:] != name[:-1]
+        again = np.zeros(len(order), bool)
+        again[1:] = ~head[1:] & (owner[1:] == owner[:-1])
+        at, group = np.flatnonzero(head), np.cumsum(head) - 1
+        low, high = (np.frombuffer(self.texts.tobytes(), "<u8").reshape(-1, 2)[owner, k] for k in (0, 1))
+        differ = np.zeros(len(order), bool)
+        differ[1:] = ~head[1:] & ((low[1:] != low[:-1]) | (high[1:] != high[:-1]))
+        shared = (np.add.reduceat((differ | known | again if repeats else differ | known).astype(np.int64), at) > 0)[group]
+        send = np.where(shared, head, ~again)
+        return order[shared & ~again & ~known], order[send], shared[send]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows), _KINDS)], names=_NAMES)
+
+
+def _dealt(entries: Entries, repeats: bool, part_of: Callable[[np.ndarray], np.ndarray], team: int, home: int) -> Iterator[pa.RecordBatch]:
+    """Rows of answered entries (for part ``home``), and of entries that are sent on to their parts."""
+    answered, send, flags = entries.resolve(repeats)
+    out = []
+    if len(answered):
+        out.append((home, team, True, *entries.blob(answered, np.ones(len(answered), bool))))
+    part = part_of(entries.names[send])
+    by = np.argsort(part, kind="stable")
+    send, flags, part = send[by], flags[by], part[by]
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        out.append((int(part[a]), team, False, *entries.blob(send[a:b], flags[a:b])))
+        if len(out) == 500:
+            yield _batch(out)
+            out = []
+    if out:
+        yield _batch(out)
 
-def _rows(part: int, unit: int, answered: bool, unit_ids: np.ndarray, unit_texts: np.ndarray, owner: np.ndarray, names: np.ndarray, more: np.ndarray | None, known: np.ndarray, short: bool) -> tuple:
-    used, local = np.unique(owner, return_inverse=True)
-    kind = "<u2" if len(used) < 2**16 else "<u4"
-    return part, unit, answered, unit_ids[used].tobytes(), unit_texts[used].tobytes(), local.astype(kind).tobytes(), _pack(names, short), b"" if more is None else more.astype("<u8").tobytes(), np.packbits(known).tobytes()
 
+def _number(names: np.ndarray, parts: int) -> np.ndarray:
+    return ((names >> np.uint64(24)) % np.uint64(parts)).astype(np.int64)
 
-def _send(names_of: Callable, parts: int, short: bool, repeats: bool):
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 6]
-    fields = [f.split()[0] for f in _SENT.split(", ")]
 
+def _send(names_of: Callable, parts: int, each: int, teams: int, repeats: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in A.units(batches):
-            first, second, doc = names_of(unit)
-            if not len(first):
+            names, doc = names_of(unit)
+            if not len(names):
                 continue
-            if short:
-                first = first & SHORT
             ids = unit["dk"].to_numpy().astype("<i8")
             texts = np.frombuffer(b"".join(unit["th"].to_pylist()), "S16")
-            tid = np.frombuffer(b"".join(unit["th"].to_pylist()), "<u8")[::2]
             code = int.from_bytes(hashlib.blake2b(ids.tobytes() + texts.tobytes(), digest_size=8).digest(), "little", signed=True)
-            order, head = groups(first, second)
-            group = np.cumsum(head) - 1
-            at = np.flatnonzero(head)
-            t, d = tid[doc[order]], doc[order]
-            shared = np.minimum.reduceat(t, at) != np.maximum.reduceat(t, at)
-            if repeats:  # twice in one document counts too
-                shared |= np.add.reduceat((~head) & np.concatenate([[False], d[1:] == d[:-1]]), at) > 0
-            once = np.ones(len(order), bool)  # one entry for each name and document
-            once[1:] = head[1:] | (d[1:] != d[:-1])
-            out = []
-            known = shared[group]
-            if known.any():
-                pick = order[known & once]
-                out.append(_rows(code % parts, code, True, ids, texts, doc[pick], first[pick], None if second is None else second[pick], np.ones(len(pick), bool), short))
-            send = np.where(known, head, once)
-            pick, flags = order[send], known[send]
-            part = ((first[pick] >> np.uint64(24)) % np.uint64(parts)).astype(np.int64)
-            by = np.argsort(part, kind="stable")
-            pick, flags, part = pick[by], flags[by], part[by]
-            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                p = pick[a:b]
-                out.append(_rows(int(part[a]), code, False, ids, texts, doc[p], first[p], None if second is None else second[p], flags[a:b], short))
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=fields)
+            entries = Entries(ids, texts, np.full(len(ids), code), doc, names & SHORT, np.zeros(len(names), bool))
+            yield from _dealt(entries, repeats, lambda n: _number(n, parts) // each, code % teams if each > 1 else code, code % -(-parts // each))
 
     return run
 
 
-def _owners(row: dict, n: int) -> np.ndarray:
-    return np.frombuffer(row["owners"], "<u2" if len(row["owners"]) == 2 * n else "<u4").astype(np.int64)
-
-
-def _answer(short: bool):
-    """Of the rows of one part, those entries whose name is shared, for each unit."""
+def _merge(parts: int, each: int):
+    """Of the rows that a team of units sent to a group of parts: rows for each part."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        out = [(r["unit"], r["ids"], r["texts"], r["owners"], r["names"], r["more"]) for r in rows if r["answered"]]
+        group, team = rows[0]["part"], rows[0]["team"]
+        out = [_batch([(group * each, team, True, *(r[c] for c in _NAMES[3:]))]) for r in rows if r["answered"]]
         rows = [r for r in rows if not r["answered"]]
         if rows:
-            names = [_unpack(r["names"], short) for r in rows]
-            sizes = [len(n) for n in names]
-            first = np.concatenate(names)
-            second = np.frombuffer(b"".join(r["more"] for r in rows), "<u8") if rows[0]["more"] else None
-            tid = np.concatenate([np.frombuffer(r["texts"], "<u8")[::2][_owners(r, n)] for r, n in zip(rows, sizes)])
-            known = np.concatenate([np.unpackbits(np.frombuffer(r["known"], np.uint8), count=n).astype(bool) for r, n in zip(rows, sizes)])
-            order, head = groups(first, second)
-            at, group = np.flatnonzero(head), np.cumsum(head) - 1
-            t = tid[order]
-            shared = (np.minimum.reduceat(t, at) != np.maximum.reduceat(t, at)) | (np.maximum.reduceat(known[order].astype(np.int8), at) > 0)
-            hit = np.zeros(len(first), bool)
-            hit[order] = shared[group]
-            hit &= ~known  # those were answered in their unit
-            start = 0
-            for r, n in zip(rows, sizes):
-                own = np.flatnonzero(hit[start : start + n])
-                if len(own):
-                    o = _owners(r, n)[own]
-                    code, _, _, ids, texts, owners, packed, more, _ = _rows(0, r["unit"], False, np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["texts"], "S16"), o, first[start + own], None if second is None else second[start + own], np.zeros(len(own), bool), short)
-                    out.append((r["unit"], ids, texts, owners, packed, more))
-                start += n
-        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate([pa.int64(), *[pa.binary()] * 5])], names=["unit", "ids", "texts", "owners", "names", "more"])
-
-    return run
-
-
-def _collect(short: bool):
-    """One row for each document of a unit: all its shared names."""
-
-    def run(table: pa.Table) -> pa.Table:
-        ids, texts, first, second = [], [], [], []
-        for r in table.to_pylist():
-            names = _unpack(r["names"], short)
-            o = _owners(r, len(names))
-            ids.append(np.frombuffer(r["ids"], "<i8")[o])
-            texts.append(np.frombuffer(r["texts"], "<u8").reshape(-1, 2)[o])
-            first.append(names)
-            if r["more"]:
-                second.append(np.frombuffer(r["more"], "<u8"))
-        ids, texts, first = np.concatenate(ids), np.concatenate(texts), np.concatenate(first)
-        order = np.lexsort((first, texts[:, 1], texts[:, 0], ids))
-        ids, texts, first = ids[order], texts[order], first[order]
-        more = np.concatenate(second)[order] if second else None
-        head = np.ones(len(ids), bool)
-        head[1:] = (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1]).any(1)
-        cuts = np.append(np.flatnonzero(head), len(ids)).tolist()
-        spans = list(zip(cuts[:-1], cuts[1:]))
-        return pa.table(
-            [pa.array(ids[head]), pa.array([texts[a].tobytes() for a, _ in spans], pa.binary()), pa.array([first[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([b"" if more is None else more[a:b].tobytes() for a, b in spans], pa.binary())],
-            names=["dk", "th", "names", "more"],
-        )
+            out += _dealt(Entries.read(rows), False, lambda n: _number(n, parts), team, group * each)
+        return pa.Table.from_batches(out)
 
     return run
 
 
-def shared_names(rows: DataFrame, names_of: Callable, parts: int, short: bool, repeats: bool) -> DataFrame:
-    """(dk, th, names, more): for each document the names of its own that another text holds too.
-
-    rows: dk, th, text and whatever ``names_of(unit)`` reads; it returns first names, second names (or None) and
-    the row of the unit that each belongs to. short: 48 bits of the first name are enough, since a false
-    match is found out later. repeats: a name that one document holds twice counts as shared.
+def _answer(table: pa.Table) -> pa.Table:
+    """Of the rows of one part, those entries whose name is shared."""
+    rows = table.to_pylist()
+    out = [tuple(r[c] for c in _NAMES) for r in rows if r["answered"]]
+    teams: dict[int, list[dict]] = {}
+    for r in rows:
+        if not r["answered"]:
+            teams.setdefault(r["team"], []).append(r)
+    if teams:
+        entries = Entries.read([r for t in teams.values() for r in t])
+        answered, _, _ = entries.resolve(False)
+        ends = np.cumsum([sum(len(r["ids"]) // 8 for r in t) for t in teams.values()])
+        of = np.searchsorted(ends, entries.owner[answered], "right")
+        for i, team in enumerate(teams):
+            pick = answered[of == i]
+            if len(pick):
+                out.append((rows[0]["part"], team, True, *entries.blob(pick, np.ones(len(pick), bool))))
+    return pa.Table.from_batches([_batch(out)]) if out else pa.table([pa.array([], k) for k in _KINDS], names=_NAMES)
+
+
+def _split(table: pa.Table) -> pa.Table:
+    """Answers of a team of units, one row for each unit."""
+    entries = Entries.read(table.to_pylist())
+    units = entries.units[entries.owner]
+    order = np.argsort(units, kind="stable")
+    cuts = np.flatnonzero(np.concatenate([[True], units[order][1:] != units[order][:-1], [True]]))
+    out = []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        pick = order[a:b]
+        out.append((0, int(units[pick[0]]), True, *entries.blob(pick, np.ones(len(pick), bool))))
+    return pa.Table.from_batches([_batch(out)])
+
+
+def _collect(table: pa.Table) -> pa.Table:
+    """One row for each document of a unit: all its shared names, ascending."""
+    e = Entries.read(table.to_pylist())
+    ids, texts, names = e.ids[e.owner], np.frombuffer(e.texts.tobytes(), "<u8").reshape(-1, 2)[e.owner], e.names
+    order = np.lexsort((names, texts[:, 1], texts[:, 0], ids))
+    ids, texts, names = ids[order], texts[order], names[order]
+    head = np.ones(len(ids), bool)
+    head[1:] = (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1]).any(1)
+    cuts = np.append(np.flatnonzero(head), len(ids)).tolist()
+    spans = list(zip(cuts[:-1], cuts[1:]))
+    return pa.table([pa.array(ids[head]), pa.array([texts[a].tobytes() for a, _ in spans], pa.binary()), pa.array([names[a:b].tobytes() for a, b in spans], pa.binary())], names=["dk", "th", "names"])
+
+
+def shared_names(rows: DataFrame, names_of: Callable, parts: int, repeats: bool, size: int) -> DataFrame:
+    """(dk, th, names): for each document the names of its own (48 bits each) that another text holds too.
+
+    rows: dk, th, text and whatever ``names_of(unit)`` reads; it returns names and the row of the unit that each belongs to. repeats: a
+    name that one document holds twice counts as shared. size: bytes of all texts.
     """
-    sent = rows.mapInArrow(_send(names_of, parts, short, repeats), _SENT)
-    answers = sent.groupBy("part").applyInArrow(_answer(short), "unit long, ids binary, texts binary, owners binary, names binary, more binary")
-    found = answers.groupBy("unit").applyInArrow(_collect(short), "dk long, th binary, names binary, more binary")
-    return found.groupBy("dk", "th").agg(F.first("names").alias("names"), F.first("more").alias("more"))
+    each = max(1, -(-parts // FAN))
+    teams = max(1, -(-size // (A.UNIT_BYTES * GROUP)))
+    sent = rows.mapInArrow(_send(names_of, parts, each, teams, repeats), _ROW)
+    if each > 1:
+        sent = sent.groupBy("part", "team").applyInArrow(_merge(parts, each), _ROW)
+    answers = sent.groupBy("part").applyInArrow(_answer, _ROW)
+    if each > 1:  # a row of answers is of a team, not of a unit
+        answers = answers.withColumn("part", F.floor(F.col("part") / each))
+        answers = answers.groupBy("part", "team").applyInArrow(_split, _ROW)
+    return answers.groupBy(F.col("team").alias("unit")).applyInArrow(_collect, "dk long, th binary, names binary").groupBy("dk", "th").agg(F.first("names").alias("names"))

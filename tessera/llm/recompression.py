@@ -116,7 +116,7 @@ def _anchor_names(window: int):
         new = np.ones(len(found), bool)
         new[1:] = (place[1:] != place[:-1]) | (found[:-1] == NONE)
         pick = np.flatnonzero(new & (found != NONE))  # one entry for each place of an anchor
-        return A.mix(found[pick]), None, doc[pick]
+        return A.mix(found[pick]), doc[pick]
 
     return run
 
@@ -268,10 +268,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     A.tune(spark)
     rows = keyed(docs)
-    parts = n_parts(text_bytes(docs), PART_BYTES, 8)
+    size = text_bytes(docs)
     ids = checkpoint(rows.select("dk", "th"), "texts")
     classes = ids.groupBy("th").agg(F.min("dk").alias("rep"), (F.count("*") > 1).alias("copied"))
-    found = checkpoint(shared_names(rows, _anchor_names(window), parts, True, True), "anchors")
+    found = checkpoint(shared_names(rows, _anchor_names(window), n_parts(size, PART_BYTES, 8), True, size), "anchors")
     reps = found.join(classes.select("th", F.col("rep").alias("dk")), ["dk", "th"], "left_semi").select("dk", "th", "names")
     some = rows.join(reps, ["dk", "th"]).select("dk", "th", "text", "names").mapInArrow(first_copies, "dk long, th binary, text string, names binary")
     snippets = checkpoint(some.mapInArrow(_snippets(window), "dk long, th binary, start long, n long, key long, known boolean, snippet binary"), "snippets")

@@ -83,7 +83,7 @@ def named_places(x: np.ndarray, off: np.ndarray, length: int = LENGTH, q: int =
 
 def _grams(unit: pa.Table):
     name, _, _, doc = named_places(*A.text_bytes(unit["text"]))
-    return name, None, doc
+    return name, doc
 
 
 def refine(ids: np.ndarray, at: np.ndarray, offset: int) -> np.ndarray:
@@ -305,7 +305,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     size = text_bytes(docs)
     ids = checkpoint(rows.select("dk", "th"), "texts")
     classes = ids.groupBy("th").agg(F.min("dk").alias("rep"))
-    found = checkpoint(shared_names(rows, _grams, n_parts(size, PART_BYTES, 8), True, False), "grams")
+    found = checkpoint(shared_names(rows, _grams, n_parts(size, PART_BYTES, 8), False, size), "grams")
     reps = found.join(classes.select("th", F.col("rep").alias("dk")), ["dk", "th"], "left_semi").select("dk", "th", "names")
     some = rows.join(reps, ["dk", "th"]).select("dk", "th", "text", "names").mapInArrow(first_copies, "dk long, th binary, text string, names binary")
     snippets = checkpoint(some.mapInArrow(_snippets, "dk long, th binary, start long, n int, key long, snippet binary, places binary"), "snippets")

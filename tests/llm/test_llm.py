@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import components, langid, near_dedup, packing, pieces, quality, recompression, sharding, suffix_dedup, token_counts, topk
 from tessera.llm import _arrays as A
+from tessera.llm import _exchange
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -704,6 +705,7 @@ def byte_repeats(rows, k=50):
 
 @pytest.mark.parametrize("hot", [20_000, 2])
 def test_byte_repeats_against_brute_force(spark, hot, monkeypatch):
+    monkeypatch.setattr(_exchange, "FAN", 2 if hot == 2 else 2048)
     rows = noisy_rows(4)
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     got = collected(suffix_dedup.remove_repeats(plain(spark, rows)))
@@ -767,8 +769,10 @@ def word_repeats(rows, k=35):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_word_repeats_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, hot, fan", [(1, 20_000, 2048), (2, 2, 2)])
+def test_word_repeats_against_brute_force(spark, seed, hot, fan, monkeypatch):
+    monkeypatch.setattr(recompression, "HOT", hot)
+    monkeypatch.setattr(_exchange, "FAN", fan)  # fewer: names go to groups of parts first
     rows = noisy_rows(seed)
     assert collected(recompression.remove_repeats(plain(spark, rows))) == sorted(word_repeats(rows), key=str)
     if seed == 1:
