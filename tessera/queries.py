@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -650,13 +649,12 @@ def text_round_trip(s, d):
     return text_format.read(s, path).compact().withColumn("p_size", F.col("p_size").cast("int"))
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer")
 def binary_round_trip(s, d):
-    t = FlagTable.of(read_table(s, d, "nation"), "n_nationkey")
-    path = f"{tempfile.mkdtemp()}/nation.bin"
+    t = customer(s, d, "c_name", "c_nationkey")
+    path = f"{shared_folder(s)}/customer-{uuid.uuid4().hex}.bin"
     binary_format.write(t, path)
-    out = binary_format.read(s, f"file://{path}").compact()
-    return s.createDataFrame(out.collect(), out.schema).select(F.col("n_nationkey").cast("int"), "n_name", F.col("n_regionkey").cast("int"))
+    return binary_format.read(s, path).compact().select("c_custkey", "c_name", F.col("c_nationkey").cast("int"))
 
 
 @query("SELECT c_nationkey, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS l_quantity, COUNT(*) AS cnt FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY c_nationkey")

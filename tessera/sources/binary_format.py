@@ -1,7 +1,7 @@
 """The binary format: counts of columns and rows, each column's name, kind and width, then the columns' bytes in turn.
 
 All numbers are little-endian; counts, lengths and widths have 8 bytes, a kind has 1. A value takes its width in whole bytes. A file
-is one piece by design, so it is written and read by one task; Parquet is the native format.
+is one piece by design, so it is meant for exchange; Parquet is the native format.
 """
 
 from __future__ import annotations
@@ -36,18 +36,20 @@ def decode_value(c: ColumnInfo, data: bytes):
     return data.rstrip(b"\0").decode() if c.kind == Kind.STRING else data
 
 
-def encode(schema: Schema, rows: list[tuple]) -> bytes:
-    out = [struct.pack("<QQ", len(schema), len(rows))]
+def encode_header(schema: Schema, rows: int) -> bytes:
+    out = [struct.pack("<QQ", len(schema), rows)]
     for c in schema.columns:
         name = c.name.encode()
         if len(name) > MAX_NAME_BYTES:
             raise ValueError(f"{c.name} is too long a name")
         out.append(struct.pack("<Q", len(name)) + name + struct.pack("<BQ", int(c.kind), c.bits))
-    for i, c in enumerate(schema.columns):
-        out.extend(encode_value(c, r[i]) for r in rows)
     return b"".join(out)
 
 
+def encode(schema: Schema, rows: list[tuple]) -> bytes:
+    return encode_header(schema, len(rows)) + b"".join(encode_value(c, r[i]) for i, c in enumerate(schema.columns) for r in rows)
+
+
 def decode_schema(data: bytes) -> tuple[Schema, int, int]:
     """The schema, the number of rows, and where the values start."""
     cols, rows = struct.unpack_from("<QQ", data)
@@ -78,10 +80,34 @@ def decode_rows(data: bytes) -> Iterator[tuple]:
 
 
 def write(table: FlagTable, path: str) -> None:
-    """One file at a driver's path."""
-    rows = [tuple(r)[:-1] for r in table.df.select(*table.schema.names, ROW_ID).orderBy(ROW_ID).toLocalIterator()]
-    with open(path, "wb") as f:
-        f.write(encode(table.schema, rows))
+    """One file at any path that Spark can write to.
+
+    Tasks encode the values of a column in ranges of the row order; the driver passes those on one range at a time.
+    """
+    from tessera.operators.order import AT, RANGE, ranged
+
+    spark = table.df.sparkSession
+    rows = ranged(table.df.select(*table.schema.names, ROW_ID), [ROW_ID])
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(encode_header(table.schema, rows.count())))
+        for c in table.schema.columns:
+            parts = rows.select(RANGE, AT, c.name).groupBy(RANGE).applyInPandas(_encoded(c, RANGE, AT), f"{RANGE} long, data binary")
+            for r in parts.orderBy(RANGE).toLocalIterator():
+                out.write(bytearray(r["data"]))
+    finally:
+        out.close()
+
+
+def _encoded(c: ColumnInfo, by: str, at: str):
+    def run(pdf):
+        import pandas as pd
+
+        data = b"".join(encode_value(c, v) for v in pdf.sort_values(at)[c.name])
+        return pd.DataFrame({by: pdf[by].iloc[:1], "data": [data]})
+
+    return run
 
 
 def read(spark: SparkSession, path: str) -> FlagTable:
