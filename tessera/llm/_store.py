@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +25,45 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Tables that are written inside are deleted at the end, but for those that ``keep`` (yielded) was called with."""
+    made: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(_folder(f) for f in df.inputFiles())
+        return df
+
+    token = _made.set(made)
+    try:
+        yield keep
+    finally:
+        _made.reset(token)
+        for path in made:
+            if _folder(f"{path}/x") not in kept:
+                _delete(spark, path)
+
+
+def _folder(file: str) -> str:
+    """The table's own name: its files' paths differ by scheme and slashes from the path it was written to."""
+    return file.rsplit("/", 2)[1]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpoint(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it: it cuts lineage and outlives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")  # the shuffle files of the plan aren't needed once its rows are written
     try:
@@ -38,11 +75,9 @@ def checkpoint(df: DataFrame, name: str) -> DataFrame:
 
 def drop(df: DataFrame) -> None:
     """Deletes the files of a checkpointed table that nothing reads any more."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        if "/tessera/" in file:
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/tessera/" in path:
+            _delete(df.sparkSession, path)
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:

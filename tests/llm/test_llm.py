@@ -194,6 +194,29 @@ def test_viterbi_finds_the_best_path_and_round_trips(vocabulary):
         assert np.frombuffer(pieces.encode_units(memo, pa.table({"text": [t]}))[0], "<u4").tolist() == unigram.encode(t)
 
 
+def test_unigram_log_scores():
+    """A vocabulary of true log probabilities: the path found is the likeliest segmentation."""
+    counts = {"▁": 40, "▁the": 60, "▁th": 5, "he": 8, "e": 30, "t": 25, "h": 20, "a": 22, "at": 12, "hat": 4, "▁that": 9, "c": 10, "cat": 6, "ca": 2, "s": 15, "ts": 3, "▁a": 7}
+    total = sum(counts.values())
+    scores = {p: math.log(c / total) for p, c in counts.items()}
+    ids = {p: i for i, p in enumerate(counts)}
+    v = pieces.Vocabulary.make({i: p for p, i in ids.items()}, {ids[p]: s for p, s in scores.items()}, [p.replace("▁", " ").encode() for p in counts], np.full(256, 0, np.int64), 0)
+
+    def likeliest(word):
+        found = [(0.0, [])] + [(-math.inf, [])] * len(word)
+        for end in range(1, len(word) + 1):
+            found[end] = max(((found[a][0] + scores[word[a:end]], found[a][1] + [word[a:end]]) for a in range(end) if word[a:end] in scores), default=(-math.inf, []))
+        return found[-1]
+
+    words = ["▁that", "▁the", "▁cats", "▁a", "▁hat", "▁chat", "▁teeth", "▁catscats" * 3]
+    got, off = pieces.viterbi(v, words)
+    names = list(counts)
+    for word, a, b in zip(words, off[:-1], off[1:]):
+        score, path = likeliest(word)
+        mine = [names[i] for i in got[a:b]]
+        assert "".join(mine) == word and math.isclose(sum(scores[p] for p in mine), score)
+
+
 def test_pieces_operator(spark, vocabulary):
     rows = [(1, "Hello world"), (2, None), (3, ""), (4, "x y" * 500), (4, "x y" * 500), (None, "☃")]
     enc = pieces.encode(plain(spark, rows), pieces.default_model())
