@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and reread as the
 next stage's documents, so a lost executor never costs more than its stage. All stages but the last return the
 columns of ``documents``.
+
+Defined cases: documents without letters or words go in the first or second stage; without labels the base rule alone decides, without a
+learnable language nothing stays; an empty table gives no sequences; more columns stay, whatever they are called.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, near_dedup, packing, quality, suffix_dedup
-from tessera.llm._store import checkpoint
+from tessera.llm._store import checkpoint, scope
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, from ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = checkpoint(stage(spark, docs, sf_dir), "stage")
+        with scope(spark) as keep:  # what a stage has written on its way goes with it
+            docs = keep(checkpoint(stage(spark, docs, sf_dir), "stage"))
     return STAGES[-1][1](spark, docs, sf_dir)
