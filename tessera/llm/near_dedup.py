@@ -6,8 +6,8 @@
    exponentially spaced scale of base ``BASE``, truncated to 16 bits. Registers of unions are minima of variates, so
    sketches merge, and two sets agree in a register with a probability of about their similarity.
 2. *Classes.* Documents with the same sequence of lower-cased words (by a digest of 128 bits) are one class, represented by its smallest row.
-3. *Bands.* Classes that agree in all registers of some band share a bucket. With 25 bands of 5, a pair at
-   similarity 0.85 misses all with probability 4e-7.
+3. *Bands.* Classes that agree in all registers of some band share a bucket. Bands are as long as lets at most ``MISS`` of the pairs at
+   the threshold miss all: 25 of 5 registers at 0.85 (4e-7), 32 of 4 at 0.8 (5e-8).
 4. *Star round.* Every class of a bucket is paired with the first one there. The joint likelihood of the
    registers' comparison estimates the pair's similarity; pairs ``SIGMAS`` under the threshold go (3e-7 of those at it), the others are verified.
 5. *The rest.* Where a bucket still holds several components, each class outside the first class's component is compared with the classes
@@ -40,7 +40,9 @@ from tessera.llm import _arrays as A
 from tessera.llm._store import checkpoint, drop, n_parts
 from tessera.llm.components import components
 
-M, BANDS, BAND, BASE = 128, 25, 5, 1.02
+M, BASE = 128, 1.02
+#: The share of pairs at the threshold that may miss all bands.
+MISS = 1e-6
 #: Estimates this far under the threshold (in standard deviations of a register count) are hopeless.
 SIGMAS = 5.0
 #: Shingles on each side of a verified block, and sketches on each side of a compared one.
@@ -163,6 +165,15 @@ def _hopeful(rule: Rule):
     return run
 
 
+def bands(rule: Rule) -> tuple[int, int]:
+    """How many bands of how many registers: the longest bands under which a pair at the threshold is missed by at most MISS."""
+    j = rule.num / rule.den
+    for size in range(M, 1, -1):
+        if (1 - j**size) ** (M // size) <= MISS:
+            return M // size, size
+    return M, 1
+
+
 def least_estimate(rule: Rule) -> float:
     j = rule.num / rule.den
     return j - SIGMAS * (j * (1 - j) / M) ** 0.5
@@ -174,6 +185,7 @@ def _candidates(table: pa.Table, rule: Rule, once: bool) -> tuple[np.ndarray, np
     once: of two classes outside the pivot's component each pair comes once, with the greater component on the left.
     """
     least = least_estimate(rule)
+    n_bands, size = bands(rule)
     comp, n, band = (table[c].to_numpy().astype(np.int64) for c in ("c", "n", "band"))
     left, minor = (table[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("is_left", "minor"))
     regs = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint16).reshape(-1, M)
@@ -187,7 +199,7 @@ def _candidates(table: pa.Table, rule: Rule, once: bool) -> tuple[np.ndarray, np
         stay = equal.sum(1) >= least * M
         r, equal = r[stay], equal[stay]
         if len(r):
-            common = equal[:, : BANDS * BAND].reshape(len(r), BANDS, BAND).all(2)
+            common = equal[:, : n_bands * size].reshape(len(r), n_bands, size).all(2)
             estimate = similarity(regs[k], regs[r], np.full(len(r), float(n[k])), n[r].astype(np.float64))
             stay = (common.argmax(1) == band[k]) & (estimate >= least)
             ours.append(np.full(int(stay.sum()), k)), theirs.append(r[stay]), estimates.append(estimate[stay])
@@ -305,7 +317,7 @@ def _texts(cids: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
     return found.select("cid", "sid", "text").mapInArrow(_once, "cid long, text string")
 
 
-def _links(pairs: DataFrame, rows: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """(cx, cy): components joined by pairs (x, y, nx, ny, cx, cy, g) whose full sets are similar enough.
 
     Pairs of one g meet in one task, or in a grid of blocks over x and y if their texts are many. A text goes once to each task.
@@ -319,7 +331,7 @@ def _links(pairs: DataFrame, rows: DataFrame, classes: DataFrame, rule: Rule) ->
     dealt = checkpoint(dealt.select("task", "x", "y", "cx", "cy"), "pairs")
     members = dealt.select("task", F.col("x").alias("cid")).union(dealt.select("task", F.col("y").alias("cid"))).distinct()
     none = F.lit(None).cast("long")
-    work = members.join(_texts(members, rows, classes), "cid").select("task", F.col("cid").alias("x"), none.alias("y"), none.alias("cx"), none.alias("cy"), "text")
+    work = members.join(texts, "cid").select("task", F.col("cid").alias("x"), none.alias("y"), none.alias("cx"), none.alias("cy"), "text")
     work = work.union(dealt.select("task", "x", "y", "cx", "cy", F.lit(None).cast("string").alias("text")))
     found = checkpoint(work.groupBy("task").applyInArrow(_verified(rule), "x long, y long, cx long, cy long").select("cx", "cy").distinct(), "links")
     drop(pairs)
@@ -359,7 +371,7 @@ def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
     return checkpoint(every.join(again, "component", "left").groupBy("node").agg(F.min(F.coalesce("joined", "component")).alias("component")), "labels")
 
 
-def _rest(buckets: DataFrame, rows: DataFrame, classes: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
+def _rest(buckets: DataFrame, texts: DataFrame, classes: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
     """Labels after the links between components that share a bucket of three or more classes.
 
     First each class outside its pivot's component tries its likeliest partner, which joins most of what belongs together. What is
@@ -368,12 +380,12 @@ def _rest(buckets: DataFrame, rows: DataFrame, classes: DataFrame, labels: DataF
     cell = ["band", "key", "lb", "rb"]
     for _ in range(TRIES):
         best = _blocks(buckets, classes, labels).groupBy(*cell).applyInArrow(_best(rule), "x long, y long, nx long, ny long, cx long, cy long")
-        more = _links(best.distinct().withColumn("g", F.col("cy")), rows, classes, rule)
+        more = _links(best.distinct().withColumn("g", F.col("cy")), texts, rule)
         if more.isEmpty():
             break
         labels = _joined(labels, more)
     meeting = checkpoint(_blocks(buckets, classes, labels).groupBy(*cell).applyInArrow(_meeting(rule), _BLOCK), "meeting")
-    work = meeting.join(_texts(meeting, rows, classes), "cid")
+    work = meeting.join(texts, "cid")
     more = checkpoint(work.groupBy(*cell).applyInArrow(_settled(rule), "cx long, cy long").distinct(), "links")
     drop(meeting)
     return labels if more.isEmpty() else _joined(labels, more)
@@ -394,7 +406,8 @@ def near_duplicates(rows: DataFrame, rule: Rule = Rule(), merge: bool = True) ->
     # the number of a class is fixed once the table is written
     classes = checkpoint(classes.select(F.monotonically_increasing_id().alias("cid"), "sid", F.col("at.dk").alias("rep"), F.col("at.th").alias("th"), "regs", "n"), "classes")
     mine = checkpoint(sig.where("n > 0").select("dk", "sid").join(classes.select("sid", "cid", "rep"), "sid").select("dk", "cid", "rep"), "ids") if merge else None
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.substring("regs", i * (2 * BAND) + 1, F.lit(2 * BAND))).alias("key")))).alias("b")
+    n_bands, size = bands(rule)
+    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.substring("regs", i * (2 * size) + 1, F.lit(2 * size))).alias("key")))).alias("b")
     keys = classes.where("regs is not null").select("cid", band).select("cid", "b.band", "b.key")
     shared = keys.groupBy("band", "key").agg(F.min("cid").alias("pivot"), F.count("*").alias("size")).where("size > 1")
     buckets = checkpoint(keys.join(shared, ["band", "key"]), "buckets")
@@ -402,13 +415,15 @@ def near_duplicates(rows: DataFrame, rule: Rule = Rule(), merge: bool = True) ->
     stars = buckets.where("cid <> pivot").select(F.col("cid").alias("x"), F.col("pivot").alias("y")).distinct()
     stars = stars.join(side("x"), "x").join(side("y"), "y").select("x", "y", "nx", "ny", "rx", "ry")
     stars = stars.mapInArrow(_hopeful(rule), "x long, y long, nx long, ny long").withColumns({"cx": F.col("x"), "cy": F.col("y"), "g": F.col("y")})
-    links = _links(stars, rows, classes, rule)
+    texts = checkpoint(_texts(buckets, rows, classes), "class_texts")  # of classes that share a bucket; joined below instead of all documents
+    links = _links(stars, texts, rule)
     if merge:
         several = mine.groupBy("dk").agg(F.min("cid").alias("cx"), F.max("cid").alias("cy")).where("cx <> cy").select("dk", "cx")
         same = checkpoint(mine.join(several, "dk").select("cx", F.col("cid").alias("cy")).where("cx <> cy").distinct(), "links")
         links = links.union(same)
     labels = components(links.toDF("x", "y"))
-    labels = _rest(buckets, rows, classes, labels, rule)
+    labels = _rest(buckets, texts, classes, labels, rule)
+    drop(texts)
     named = labels.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
     named = named.join(named.groupBy("component").agg(F.min("rep").alias("first")), "component").select(F.col("node").alias("cid"), "first")
     of_class = checkpoint(classes.select("sid", "cid", "rep").join(named, "cid", "left").select("sid", F.coalesce("first", "rep").alias("first")), "first")

@@ -266,3 +266,8 @@ SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_WORDS} * n_wor
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return judge(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of ``op9_quality`` SQL can express: the counts and the base rule of every document."""
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), None).drop("score", "kept")

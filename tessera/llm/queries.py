@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": sharding.op8_sharding,
         "op9_quality": quality.op9_quality,
         "op10_substring_dedup": recompression.op10_substring_dedup,
+        "quality_base_counts": quality.quality_base_counts,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_near_dedup": near_dedup.ORACLE,
         "op8_sharding": sharding.oracle(),
         "op10_substring_dedup": recompression.ORACLE,
+        "quality_base_counts": quality.BASE_SQL,
     }
