@@ -48,7 +48,7 @@ SIGMAS = 5.0
 #: Shingles on each side of a verified block, and sketches on each side of a compared one.
 BLOCK_SHINGLES, BLOCK_SKETCHES = 1_000_000, 2048
 #: Rounds in which a class tries its likeliest partner before all pairs that are left are verified.
-TRIES = 2
+TRIES = 1
 NULL_ID = 2**63 - 1
 U64 = np.uint64
 
