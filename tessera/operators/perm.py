@@ -45,8 +45,13 @@ def is_permutation(p: DataFrame) -> bool:
 
 def shared_is_permutation(first: DataFrame, second: DataFrame) -> bool:
     """Whether two shares (i, pi) of which the exclusive or is meant do stand for a permutation."""
+    return is_permutation(reveal(first, second))
+
+
+def reveal(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(i, pi) that two shares stand for; pi is null where one of them has no such place."""
     both = first.join(second.withColumnRenamed("pi", "__other"), "i", "full")
-    return is_permutation(both.select("i", F.col("pi").bitwiseXOR(F.col("__other")).alias("pi")))
+    return both.select("i", F.col("pi").bitwiseXOR(F.col("__other")).alias("pi"))
 
 
 def split(p: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:

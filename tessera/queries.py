@@ -526,6 +526,11 @@ def share_reveal_u32(s, d):
     return shares.select("o_orderkey", share.reveal_u32(F.col("a"), F.col("b")).alias("o_custkey"))
 
 
+@query("SELECT CAST(ROW_NUMBER() OVER (ORDER BY p_size, p_partkey) - 1 AS BIGINT) AS i, p_partkey AS pi FROM part")
+def share_reveal_perm(s, d):
+    return perm.reveal(*perm.split(_sort_perm(s, d, "p_size", False), 4))
+
+
 # bits and residues
 
 
@@ -619,6 +624,13 @@ def table_shape(s, d):
     return s.createDataFrame([(c.name, t.cols(), t.rows(), total) for c in t.column_info()], "name string, cols long, n long, total long")
 
 
+@query("SELECT c_custkey AS i, CAST(0 AS BIGINT) AS k, '' AS t, FALSE AS b, 1 AS is_active FROM customer")
+def table_zeros(s, d):
+    """As many rows of zeros as there are customers (their keys count from 0)."""
+    t = FlagTable.zeros(s, read_table(s, d, "customer").count(), Schema.of(("k", Kind.INT, 64), ("t", Kind.STRING, 80), ("b", Kind.BOOLEAN, 1)))
+    return t.df.select(F.col(ROW_ID).alias("i"), "k", "t", "b", F.col(ACTIVE).cast("int").alias(ACTIVE))
+
+
 @query("SELECT c_custkey, c_nationkey, c_custkey - n // 3 AS i FROM customer, (SELECT COUNT(*) AS n FROM customer) WHERE c_custkey >= n // 3 AND c_custkey < n // 3 + n // 2")
 def table_rows_between(s, d):
     """The middle rows of the table, with a column declared narrower."""

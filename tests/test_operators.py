@@ -345,3 +345,64 @@ def test_prefix_sum_of_a_hot_key(spark):
     for i, k, v in data:
         sums[k] = expected[i] = sums.get(k, 0) + v
     assert got == expected
+
+
+def test_scans_of_segments_over_many_ranges(spark):
+    """Every operator and direction, with one key that fills most ranges, against a plain loop."""
+    r = random.Random(5)
+    data = [(i, "hot" if r.random() < 0.8 else f"k{r.randrange(4)}", r.randrange(1, 100)) for i in range(300)]
+    df = spark.createDataFrame(data, "i long, k string, v long")
+    plain = {"add": lambda a, b: a + b, "xor": lambda a, b: a ^ b, "min": min, "max": max, "dup": lambda a, b: a}
+    for op, f in plain.items():
+        for direction in scan.DIRECTIONS:
+            got = {x["i"]: x["y"] for x in scan.segmented_scan(df, "k", "i", F.col("v"), op, direction).collect()}
+            for i, k, _ in data:
+                own = [v for j, key, v in data if key == k and (direction == "full" or (j <= i if direction == "prefix" else j >= i))]
+                y = own[0]
+                for v in own[1:]:
+                    y = f(y, v)
+                assert got[i] == y, (op, direction, i)
+    got = {x["i"]: x["y"] for x in scan.segmented_scan(df, "k", "i", F.col("v"), lambda a, b: F.greatest(a, b), "prefix").collect()}
+    assert got == {x["i"]: x["y"] for x in scan.segmented_scan(df, "k", "i", F.col("v"), "max", "prefix").collect()}
+
+
+def test_row_ranges_and_words(spark):
+    t = make(spark, [(k,) for k in range(10)], ("v", INT, 8))
+    assert [x[0] for x in values(t.rows_between(3, 4).compact())] == [3, 4, 5, 6] and t.rows_between(8).rows() == 2
+    for first, count in ((10, 1), (8, 3), (-1, 2)):
+        with pytest.raises(ValueError):
+            t.rows_between(first, count)
+    with pytest.raises(ValueError):
+        t.reshape("v", 9)
+    data = spark.createDataFrame([(bytearray(b"\x01\x02\x03\x04\xff\x00"),), (bytearray(),)], "d binary")
+    got = data.select(B.to_words(F.col("d"), 2), B.from_words(B.to_words(F.col("d"), 2), 2)).collect()
+    assert got[0][0] == [0x0201, 0x0403, 0x00FF] and bytes(got[0][1]) == b"\x01\x02\x03\x04\xff\x00" and got[1][0] == []
+    with pytest.raises(Exception, match="multiple of 4"):
+        data.select(B.to_words(F.col("d"), 4)).collect()
+
+
+def test_equality_across_kinds_pads_by_sign_or_zeros(spark):
+    t = make(spark, [(-1, "a", True), (97, "a\0", False)], ("n", INT, 16), ("s", STR, 24), ("b", BOOL, 1))
+
+    def equal(a, text, kind):
+        b = Builder(t.schema, *t.schema.names)
+        b.gate(Op.EQUALS, b.col(a), b.lit(text, kind))
+        return [x[0] for x in t.df.orderBy("__row_id").select(b.compile()).collect()]
+
+    assert equal("n", "ffff", Kind.BIN) == [True, False] and equal("n", "61", Kind.BIN) == [False, True] and equal("n", "ff", Kind.BIN) == [False, False]
+    assert equal("n", "ffffffffffffffffffff", Kind.BIN) == [True, False]  # a sign fills up any width
+    assert equal("s", "61", Kind.BIN) == [True, True] and equal("s", "97", INT) == [True, True] and equal("b", "1", INT) == [True, False]
+
+
+def test_show_prints_rows(spark, capsys):
+    make(spark, [(5,), (6,)], ("v", INT, 8), active=[True, False]).show()
+    out = capsys.readouterr().out
+    assert "is_active" in out and "|5" in out.replace(" ", "") and "|0" in out.replace(" ", "")
+
+
+def test_union_keeps_ids_of_both_sides(spark):
+    big = (1 << 62) + 5
+    rows = spark.createDataFrame([(1, big), (2, big + 1)], "k long, r long")
+    t = FlagTable.of(rows, "r", schema=Schema.of(("k", INT, 64)))
+    out = join.right_union(t, t.with_df(t.df.withColumn("k", F.col("k") + 1)), "k", "k", [("k", "k")])
+    assert sorted(x[0] for x in values(out.compact())) == [1, 2, 3] and out.df.select("__row_id").distinct().count() == 3
