@@ -9,7 +9,8 @@ exact in any order. The language with the shortest code wins (ties: the smaller
 
 Before counting and coding, capitals of ASCII and Latin-1 letters are folded to small ones.
 
-Training uses ``TRAIN_BYTES`` bytes for each language, or its share of ``TOTAL_BYTES`` where there are very many languages: documents in the order of
+Training uses ``TRAIN_BYTES`` bytes for each language, or fewer where there are over 20 languages: a model has a cost for each string and language, so
+the bytes of all languages times their number stay under ``CELLS``. Documents come in the order of
 a hash of id and text, to the one that crosses the bound, which is cut there; a language with less is used whole. So every language
 with a labelled text is learned, and driver, model and workers hold a bounded amount whatever the data.
 Only text and language of documents outside the held-out third are read for it.
@@ -34,7 +35,7 @@ from pyspark.sql.types import StructType
 
 from tessera.llm import _arrays as A
 
-ORDER, TRAIN_BYTES, TOTAL_BYTES, UNITS = 3, 1_500_000, 30_000_000, 1024
+ORDER, TRAIN_BYTES, CELLS, UNITS = 3, 1_500_000, 600_000_000, 1024
 HASH_BITS = 56
 #: A text of more bits a byte than this (less FREE_BITS for all) in its best language is in none of the learned languages.
 MAX_BITS = 7.5
@@ -192,8 +193,8 @@ class Coder:
         return out
 
 
-def _limits(known: DataFrame, bound: int, total: int) -> tuple[dict[str, int], int]:
-    """The hash up to which a language's texts are pulled: those reach the bound, or are all; and that bound, a share of ``total`` at most.
+def _limits(known: DataFrame, bound: int, cells: int) -> tuple[dict[str, int], int]:
+    """The hash up to which a language's texts are pulled: those reach the bound, or are all; and that bound, lowered to keep to ``cells``.
 
     Each pass sums bytes by the next 8 bits of the hash, inside the bin in which the sum reaches the bound, until that bin is one
     hash or the sum with it is at most twice the bound.
@@ -209,7 +210,7 @@ def _limits(known: DataFrame, bound: int, total: int) -> tuple[dict[str, int], i
         sums = rows.groupBy("lang", F.shiftright("h", step).alias("bin")).agg(F.sum("b").alias("b"), F.min("h").alias("least"), F.max("h").alias("most"))
         found = sums.collect()
         if not inside:
-            bound = max(1, min(bound, total // max(1, len({r["lang"] for r in found}))))
+            bound = max(1, min(bound, cells // max(1, len({r["lang"] for r in found}) ** 2)))
         inside = {}
         for r in sorted(found, key=lambda r: (r["lang"], r["bin"])):
             lang, before = r["lang"], under.get(r["lang"], 0)
@@ -225,12 +226,12 @@ def _limits(known: DataFrame, bound: int, total: int) -> tuple[dict[str, int], i
     return limits, bound
 
 
-def _sample(docs: DataFrame, bound: int, total: int = TOTAL_BYTES) -> dict[str, list[bytes]]:
+def _sample(docs: DataFrame, bound: int, cells: int = CELLS) -> dict[str, list[bytes]]:
     """Texts of each language in the order of their hashes, to the one by which they reach the bound, which is cut there; equal rows count each."""
     text = F.col("text").cast("string")
     h = F.xxhash64("doc_id", text).bitwiseAND(F.lit(2**HASH_BITS - 1))
     known = docs.where(~held_out() & F.col("lang").isNotNull() & (F.octet_length(text) > 0)).select(F.col("lang").cast("string"), text.alias("text"), h.alias("h"), F.octet_length(text).alias("b"))
-    limits, bound = _limits(known.drop("text"), bound, total)
+    limits, bound = _limits(known.drop("text"), bound, cells)
     if not limits:
         return {}
     spans = known.sparkSession.createDataFrame(list(limits.items()), "lang string, most long")

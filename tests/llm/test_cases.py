@@ -77,9 +77,9 @@ def test_every_language_is_learned(spark):
     data = [(None if k % 2 else k, (f"w{k}x " * 40_000)[: 90_000 + k], f"l{k % 16:02}") for k in range(64)]
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(4)
     learnable = {r["lang"] for r in docs.where(~langid.held_out()).collect()}
-    sample = langid._sample(docs, 10_000, 100_000)
+    sample = langid._sample(docs, 10_000, 1_600_000)
     assert set(sample) == learnable and len(learnable) == 16
-    assert all(sum(map(len, v)) == 100_000 // 16 for v in sample.values())
+    assert all(sum(map(len, v)) == 1_600_000 // 16**2 for v in sample.values())
 
 
 def test_packing(docs, rows, spark):
