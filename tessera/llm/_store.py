@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,18 +59,34 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_lock, _writing = Lock(), {"now": 0, "before": "false"}
+
+
+@contextmanager
+def _cleaning(spark: SparkSession):
+    """Sets CLEANUP while tables are written; of writes at the same time the last to end restores it."""
+    with _lock:
+        if not _writing["now"]:
+            _writing["before"] = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        _writing["now"] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writing["now"] -= 1
+            if not _writing["now"]:
+                spark.conf.set(CLEANUP, _writing["before"])
+
+
 def checkpoint(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it: it cuts lineage and outlives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     if (made := _made.get()) is not None:
         made.append(path)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")  # the shuffle files of the plan aren't needed once its rows are written
-    try:
+    with _cleaning(spark):  # the shuffle files of the plan aren't needed once its rows are written
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -19,7 +19,7 @@
 that are equal only for equal content. A group too large for one task is dealt over a grid of blocks. So a text travels
 with its groups, not with its pairs, and a link never rests on a hash.
 
-Defined cases: null, empty and blank texts have no set and are linked with nothing; a text with fewer words than a
+Defined cases: null, empty and blank texts have no set and are linked with nothing, not with other rows of their doc_id either; a text with fewer words than a
 shingle is one element, so it is linked with its class only; rows with one doc_id are one document of the query (the pipeline stage compares their texts); a null
 doc_id counts as the largest; a very long text is sketched by itself; an empty table gives an empty result;
 extra columns are ignored by the query and kept by the pipeline stage, whatever they are called.
