@@ -699,8 +699,8 @@ def stream_join(s, d):
     return streaming.to_table(joined, f"{shared_folder(s)}/stream-{uuid.uuid4().hex}")
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, user_id % 5 AS k, CAST(SUM(event_id) AS BIGINT) AS event_id, COUNT(*) AS cnt FROM events GROUP BY ALL")
+@query("SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS start, user_id % 5 AS k, CAST(SUM(event_id) AS BIGINT) AS event_id, COUNT(*) AS cnt FROM events GROUP BY ALL")
 def stream_window_sum(s, d):
     stream = _event_stream(s, d, "event_id", "user_id", "ts").withColumns({"k": F.col("user_id") % 5, "ts": F.col("ts").cast("timestamp")})
     sums = streaming.stream_window_sum(stream, "ts", "1 hour", "3650 days", "k", "event_id")
-    return streaming.to_table(sums, f"{shared_folder(s)}/stream-{uuid.uuid4().hex}", "complete").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "k", "event_id", F.col("Count").alias("cnt"))
+    return streaming.to_table(sums, f"{shared_folder(s)}/stream-{uuid.uuid4().hex}", "complete").select(F.unix_timestamp(F.col("window.start")).alias("start"), "k", "event_id", F.col("Count").alias("cnt"))
