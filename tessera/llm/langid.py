@@ -258,7 +258,7 @@ _coders: dict[int, Coder | None] = {}
 
 
 def _predict(shared, carry: bool):
-    """Predictions of batches with text and has_letter; carry: only the column ``row`` of texts that pass."""
+    """Predictions of batches with text and has_letter; carry: only the columns ``row`` and ``text`` of texts that pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -279,7 +279,7 @@ def _predict(shared, carry: bool):
             else:
                 known, best, score, bits = np.zeros(n, bool), np.zeros(n, int), np.zeros(n), np.zeros(n)
             if carry:
-                yield from unit.select(["row"]).filter(pa.array(known & (bits <= MAX_BITS))).to_batches()
+                yield from unit.select(["row", "text"]).filter(pa.array(known & (bits <= MAX_BITS))).to_batches()
                 continue
             names = [*(model.languages if model else []), "und"]
             pred = pa.array(names, pa.string()).take(pa.array(np.where(known, best, len(names) - 1)))
@@ -304,9 +304,10 @@ def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows, with all their columns, whose text is in a learned language: it has letters and codes in at most MAX_BITS a byte."""
     spark = docs.sparkSession
     A.tune(spark)
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"), _has_letter().alias("has_letter"))
-    out = rows.mapInArrow(_predict(spark.sparkContext.broadcast(model), True), StructType([rows.schema["row"]]))
-    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    others = F.struct(*(docs[c] for c in docs.columns if c != "text"))  # one column, whatever the names inside
+    rows = docs.select(others.alias("row"), F.col("text").cast("string").alias("text"), _has_letter().alias("has_letter"))
+    out = rows.mapInArrow(_predict(spark.sparkContext.broadcast(model), True), StructType([rows.schema["row"], rows.schema["text"]]))
+    return out.select(*((F.col("text") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ MISS = 1e-6
 #: Estimates this far under the threshold (in standard deviations of a register count) are hopeless.
 SIGMAS = 5.0
 #: Shingles on each side of a verified block, and sketches on each side of a compared one.
-BLOCK_SHINGLES, BLOCK_SKETCHES = 1_000_000, 2048
+BLOCK_SHINGLES, BLOCK_SKETCHES = 250_000, 1024
 #: Rounds in which a class tries its likeliest partner before all pairs that are left are verified.
 TRIES = 1
 NULL_ID = 2**63 - 1
