@@ -6,8 +6,8 @@
    exponentially spaced scale of base ``BASE``, truncated to 16 bits. Registers of unions are minima of variates, so
    sketches merge, and two sets agree in a register with a probability of about their similarity.
 2. *Classes.* Documents with the same sequence of lower-cased words (by a digest of 128 bits) are one class, represented by its smallest row.
-3. *Bands.* Classes that agree in all registers of some band share a bucket. Bands are as long as lets at most ``MISS`` of the pairs at
-   the threshold miss all: 25 of 5 registers at 0.85 (4e-7), 32 of 4 at 0.8 (5e-8).
+3. *Bands.* Classes that agree in all registers of some band share a bucket. With 25 bands of 5 registers a pair at
+   similarity 0.85 misses all with probability 4e-7, one at 0.8 with 5e-5.
 4. *Star round.* Every class of a bucket is paired with the first one there. The joint likelihood of the
    registers' comparison estimates the pair's similarity; pairs ``SIGMAS`` under the threshold go (3e-7 of those at it), the others are verified.
 5. *The rest.* Where a bucket still holds several components, each class outside the first class's component is compared with the classes
@@ -40,9 +40,7 @@ from tessera.llm import _arrays as A
 from tessera.llm._store import checkpoint, drop, n_parts
 from tessera.llm.components import components
 
-M, BASE = 128, 1.02
-#: The share of pairs at the threshold that may miss all bands.
-MISS = 1e-6
+M, BAND, BASE = 128, 5, 1.02
 #: Estimates this far under the threshold (in standard deviations of a register count) are hopeless.
 SIGMAS = 5.0
 #: Shingles on each side of a verified block, and sketches on each side of a compared one.
@@ -166,12 +164,8 @@ def _hopeful(rule: Rule):
 
 
 def bands(rule: Rule) -> tuple[int, int]:
-    """How many bands of how many registers: the longest bands under which a pair at the threshold is missed by at most MISS."""
-    j = rule.num / rule.den
-    for size in range(M, 1, -1):
-        if (1 - j**size) ** (M // size) <= MISS:
-            return M // size, size
-    return M, 1
+    """How many bands of how many registers."""
+    return M // BAND, BAND
 
 
 def least_estimate(rule: Rule) -> float:
