@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of a file, where a table's rows are known about.
+FILE_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,9 +81,15 @@ def _cleaning(spark: SparkSession):
                 spark.conf.set(CLEANUP, _writing["before"])
 
 
-def checkpoint(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it: it cuts lineage and outlives lost executors."""
+def checkpoint(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes a table to the shared folder and reads it: it cuts lineage and outlives lost executors.
+
+    rows: about how many it has at most. Then its files follow from that, not from the partitions that the plan ends in: on a local
+    folder each file costs an executor several processes (chmod), and each of them is a copy of the JVM until it starts.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(n_parts(rows, FILE_ROWS, 2 * spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     if (made := _made.get()) is not None:
         made.append(path)

@@ -311,23 +311,24 @@ def _texts(cids: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
     return found.select("cid", "sid", "text").mapInArrow(_once, "cid long, text string")
 
 
-def _links(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, rule: Rule, size: int) -> DataFrame:
     """(cx, cy): components joined by pairs (x, y, nx, ny, cx, cy, g) whose full sets are similar enough.
 
-    Pairs of one g meet in one task, or in a grid of blocks over x and y if their texts are many. A text goes once to each task.
+    Pairs of one g meet in one task, or in a grid of blocks over x and y if their texts are many. A text goes once to each task. size: about how many pairs there are.
     """
-    pairs = checkpoint(pairs, "pairs")
+    pairs = checkpoint(pairs, "pairs", size)
+    size, shingles = pairs.agg(F.count("*"), F.sum("nx")).first()
     sides = [pairs.select("g", F.col(k).alias("cid"), F.col(f"n{k}").alias("n")).distinct().groupBy("g").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias(f"b{k}")) for k in "xy"]
-    tasks = n_parts(2 * (pairs.agg(F.sum("nx")).first()[0] or 0), BLOCK_SHINGLES)
+    tasks = n_parts(2 * (shingles or 0), BLOCK_SHINGLES)
     cell = F.xxhash64("g", F.pmod(F.xxhash64("x"), "bx"), F.pmod(F.xxhash64("y"), "by"))
     whole = (F.col("bx") == 1) & (F.col("by") == 1)
     dealt = pairs.join(sides[0].join(sides[1], "g"), "g").withColumn("task", F.when(whole, F.pmod(F.xxhash64("g"), F.lit(tasks))).otherwise(cell))
-    dealt = checkpoint(dealt.select("task", "x", "y", "cx", "cy"), "pairs")
+    dealt = checkpoint(dealt.select("task", "x", "y", "cx", "cy"), "pairs", size)
     members = dealt.select("task", F.col("x").alias("cid")).union(dealt.select("task", F.col("y").alias("cid"))).distinct()
     none = F.lit(None).cast("long")
     work = members.join(texts, "cid").select("task", F.col("cid").alias("x"), none.alias("y"), none.alias("cx"), none.alias("cy"), "text")
     work = work.union(dealt.select("task", "x", "y", "cx", "cy", F.lit(None).cast("string").alias("text")))
-    found = checkpoint(work.groupBy("task").applyInArrow(_verified(rule), "x long, y long, cx long, cy long").select("cx", "cy").distinct(), "links")
+    found = checkpoint(work.groupBy("task").applyInArrow(_verified(rule), "x long, y long, cx long, cy long").select("cx", "cy").distinct(), "links", size)
     drop(pairs)
     drop(dealt)
     return found
@@ -336,17 +337,17 @@ def _links(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
 _BLOCK = "band int, key long, lb long, rb long, is_left boolean, minor boolean, cid long, c long, n long, regs binary"
 
 
-def _blocks(buckets: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+def _blocks(buckets: DataFrame, classes: DataFrame, labels: DataFrame, size: int) -> DataFrame:
     """Sketches of the buckets that hold several components, without pivots, in blocks: classes outside the pivot's component (left) against all.
 
     Each pair is compared in some block; the rows grow with the square of a bucket over BLOCK_SKETCHES only.
     """
     rows = buckets.where("size > 2").join(labels.select(F.col("node").alias("cid"), F.col("component").alias("c")), "cid", "left").withColumn("c", F.coalesce("c", "cid"))
-    rows = checkpoint(rows, "members")
+    rows = checkpoint(rows, "members", size)
     main = rows.where("cid = pivot").select("band", "key", F.col("c").alias("main"))
     several = rows.groupBy("band", "key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("band", "key")
     some = rows.join(several, ["band", "key"], "left_semi").where("cid <> pivot").join(main, ["band", "key"]).withColumn("minor", F.col("c") != F.col("main"))
-    some = checkpoint(some.join(classes.select("cid", "n", "regs"), "cid"), "sketches")
+    some = checkpoint(some.join(classes.select("cid", "n", "regs"), "cid"), "sketches", size)
     drop(rows)
     shape = some.groupBy("band", "key").agg(F.ceil(F.sum(F.col("minor").cast("int")) / BLOCK_SKETCHES).alias("lefts"), F.ceil(F.count("*") / BLOCK_SKETCHES).alias("rights")).where("lefts > 0")
     some = some.join(shape, ["band", "key"])
@@ -358,14 +359,14 @@ def _blocks(buckets: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFr
     return left.select(*cols).union(right.select(*cols))
 
 
-def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+def _joined(labels: DataFrame, more: DataFrame, size: int) -> DataFrame:
     """Labels after links between components: components of components."""
     again = components(more.toDF("x", "y")).toDF("component", "joined")
     every = labels.union(again.select(F.col("component").alias("node"), "component")).distinct()  # with classes that had no link before
-    return checkpoint(every.join(again, "component", "left").groupBy("node").agg(F.min(F.coalesce("joined", "component")).alias("component")), "labels")
+    return checkpoint(every.join(again, "component", "left").groupBy("node").agg(F.min(F.coalesce("joined", "component")).alias("component")), "labels", size)
 
 
-def _rest(buckets: DataFrame, texts: DataFrame, classes: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
+def _rest(buckets: DataFrame, texts: DataFrame, classes: DataFrame, labels: DataFrame, rule: Rule, size: int) -> DataFrame:
     """Labels after the links between components that share a bucket of three or more classes.
 
     First each class outside its pivot's component tries its likeliest partner, which joins most of what belongs together. What is
@@ -373,16 +374,16 @@ def _rest(buckets: DataFrame, texts: DataFrame, classes: DataFrame, labels: Data
     """
     cell = ["band", "key", "lb", "rb"]
     for _ in range(TRIES):
-        best = _blocks(buckets, classes, labels).groupBy(*cell).applyInArrow(_best(rule), "x long, y long, nx long, ny long, cx long, cy long")
-        more = _links(best.distinct().withColumn("g", F.col("cy")), texts, rule)
+        best = _blocks(buckets, classes, labels, size).groupBy(*cell).applyInArrow(_best(rule), "x long, y long, nx long, ny long, cx long, cy long")
+        more = _links(best.distinct().withColumn("g", F.col("cy")), texts, rule, size)
         if more.isEmpty():
             break
-        labels = _joined(labels, more)
-    meeting = checkpoint(_blocks(buckets, classes, labels).groupBy(*cell).applyInArrow(_meeting(rule), _BLOCK), "meeting")
+        labels = _joined(labels, more, size)
+    meeting = checkpoint(_blocks(buckets, classes, labels, size).groupBy(*cell).applyInArrow(_meeting(rule), _BLOCK), "meeting")
     work = meeting.join(texts, "cid")
-    more = checkpoint(work.groupBy(*cell).applyInArrow(_settled(rule), "cx long, cy long").distinct(), "links")
+    more = checkpoint(work.groupBy(*cell).applyInArrow(_settled(rule), "cx long, cy long").distinct(), "links", size)
     drop(meeting)
-    return labels if more.isEmpty() else _joined(labels, more)
+    return labels if more.isEmpty() else _joined(labels, more, size)
 
 
 def near_duplicates(rows: DataFrame, rule: Rule = Rule(), merge: bool = True) -> DataFrame:
@@ -395,32 +396,34 @@ def near_duplicates(rows: DataFrame, rule: Rule = Rule(), merge: bool = True) ->
     kind = rows.schema["dk"].dataType.simpleString()
     sig = rows.select("dk", F.xxhash64("text").alias("th"), "text").mapInArrow(_sketched(rule.width), f"dk {kind}, th long, n long, sid binary, regs binary")
     sig = checkpoint(sig, "sketches")
+    n_rows = sig.count()
     least = F.min(F.struct("dk", "th"))
     classes = sig.where("n > 0").groupBy("sid").agg(least.alias("at"), F.first("regs").alias("regs"), F.first("n").alias("n"))
     # the number of a class is fixed once the table is written
-    classes = checkpoint(classes.select(F.monotonically_increasing_id().alias("cid"), "sid", F.col("at.dk").alias("rep"), F.col("at.th").alias("th"), "regs", "n"), "classes")
-    mine = checkpoint(sig.where("n > 0").select("dk", "sid").join(classes.select("sid", "cid", "rep"), "sid").select("dk", "cid", "rep"), "ids") if merge else None
+    classes = checkpoint(classes.select(F.monotonically_increasing_id().alias("cid"), "sid", F.col("at.dk").alias("rep"), F.col("at.th").alias("th"), "regs", "n"), "classes", n_rows)
+    mine = checkpoint(sig.where("n > 0").select("dk", "sid").join(classes.select("sid", "cid", "rep"), "sid").select("dk", "cid", "rep"), "ids", n_rows) if merge else None
     n_bands, size = bands(rule)
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.substring("regs", i * (2 * size) + 1, F.lit(2 * size))).alias("key")))).alias("b")
     keys = classes.where("regs is not null").select("cid", band).select("cid", "b.band", "b.key")
     shared = keys.groupBy("band", "key").agg(F.min("cid").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    buckets = checkpoint(keys.join(shared, ["band", "key"]), "buckets")
+    buckets = checkpoint(keys.join(shared, ["band", "key"]), "buckets", n_rows * n_bands)
+    members = buckets.count()
     side = lambda k: classes.select(F.col("cid").alias(k), F.col("regs").alias(f"r{k}"), F.col("n").alias(f"n{k}"))
     stars = buckets.where("cid <> pivot").select(F.col("cid").alias("x"), F.col("pivot").alias("y")).distinct()
     stars = stars.join(side("x"), "x").join(side("y"), "y").select("x", "y", "nx", "ny", "rx", "ry")
     stars = stars.mapInArrow(_hopeful(rule), "x long, y long, nx long, ny long").withColumns({"cx": F.col("x"), "cy": F.col("y"), "g": F.col("y")})
     texts = checkpoint(_texts(buckets, rows, classes), "class_texts")  # of classes that share a bucket; joined below instead of all documents
-    links = _links(stars, texts, rule)
+    links = _links(stars, texts, rule, members)
     if merge:
         several = mine.groupBy("dk").agg(F.min("cid").alias("cx"), F.max("cid").alias("cy")).where("cx <> cy").select("dk", "cx")
-        same = checkpoint(mine.join(several, "dk").select("cx", F.col("cid").alias("cy")).where("cx <> cy").distinct(), "links")
+        same = checkpoint(mine.join(several, "dk").select("cx", F.col("cid").alias("cy")).where("cx <> cy").distinct(), "links", n_rows)
         links = links.union(same)
     labels = components(links.toDF("x", "y"))
-    labels = _rest(buckets, texts, classes, labels, rule)
+    labels = _rest(buckets, texts, classes, labels, rule, members)
     drop(texts)
     named = labels.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
     named = named.join(named.groupBy("component").agg(F.min("rep").alias("first")), "component").select(F.col("node").alias("cid"), "first")
-    of_class = checkpoint(classes.select("sid", "cid", "rep").join(named, "cid", "left").select("sid", F.coalesce("first", "rep").alias("first")), "first")
+    of_class = checkpoint(classes.select("sid", "cid", "rep").join(named, "cid", "left").select("sid", F.coalesce("first", "rep").alias("first")), "first", n_rows)
     drop(buckets)
     found = sig.select("dk", "n", "sid").join(of_class, "sid", "left")
     return found.select("dk", "n", F.coalesce("first", "dk").alias("first"))
@@ -447,7 +450,7 @@ def keep_first(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     rows = docs.select(F.struct(dk.alias("id"), name.alias("name")).alias("dk"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     found = near_duplicates(rows, rule, merge=False).where("n > 0").groupBy("dk").agg(F.min("first").alias("first"), F.count("*").alias("n"))
     found = found.select("dk", "n", (F.col("dk") != F.col("first")).alias("goes")).where("goes or n > 1")
-    marks = checkpoint(found.select(F.col("dk.id").alias("__mark_id"), F.col("dk.name").alias("__mark_name"), "goes"), "gone")
+    marks = checkpoint(found.select(F.col("dk.id").alias("__mark_id"), F.col("dk.name").alias("__mark_name"), "goes"), "gone", docs.count())
     on = (dk == marks["__mark_id"]) & (name == marks["__mark_name"])
     kept = docs.join(marks, on, "left_anti")
     again = marks.where("not goes")  # first of their component, but in several equal rows

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import components, langid, near_dedup, packing, pieces, quality, recompression, sharding, suffix_dedup, token_counts, topk
 from tessera.llm import _arrays as A
-from tessera.llm import _exchange
+from tessera.llm import _exchange, _store
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -689,6 +689,36 @@ def test_sketches_estimate_and_merge():
     assert max(errors) < 0.2 and np.mean(errors) < 0.06
 
 
+def test_small_tables_have_few_files(spark, monkeypatch):
+    """Each file costs an executor several processes: tables of few rows don't get one for each shuffle partition."""
+    files = {}
+
+    def counted(df, name, *rows):
+        out = _store.checkpoint(df, name, *rows)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "checkpoint", counted)
+    monkeypatch.setattr(components, "checkpoint", counted)
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    base = [[r.choice(words) for _ in range(60)] for _ in range(200)]
+    rows = [(5 * i + k, " ".join([*b[:-1], r.choice(words)] if k else b)) for i, b in enumerate(base) for k in range(5)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = [tuple(r) for r in near_dedup.components_of(docs, near_dedup.CONTRACT).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(got) == sorted(jaccard_components(rows, 3, 85, 100))
+    assert {"pairs", "labels", "links", "buckets", "classes", "ids", "first"} <= set(files)
+    few = 2 * spark.sparkContext.defaultParallelism
+    assert {k: n for k, n in files.items() if n > few and k != "class_texts"} == {}
+
+
 def test_components(spark):
     r = random.Random(3)
     links = [(i, i + 1) for i in range(0, 60)] + [(r.randrange(100, 140), r.randrange(100, 140)) for _ in range(25)] + [(500, 500)]
