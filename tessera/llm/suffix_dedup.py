@@ -42,43 +42,53 @@ from tessera.llm._store import checkpoint, drop, n_parts, text_bytes
 LENGTH, Q = 50, 32
 #: Snippets over which a q-gram's bucket is hot; bytes of text for each part of the name space; snippets of a refinement task.
 HOT, PART_BYTES, TASK_SNIPPETS = 20_000, 16 << 20, 8_000
+#: Places of a slice in which q-grams are named; with a string's bytes they stay under 2^16.
+PLACES = 1 << 15
 
 
 def gram_names(x: np.ndarray, q: int = Q) -> np.ndarray:
-    """A name of each q bytes (q a power of two), by doubling."""
-    h = A.BYTES[x]
-    size = 1
+    """A name of each q bytes (q a power of two from 8 on), by doubling from words of 8 bytes."""
+    if len(x) < q:
+        return np.zeros(0, np.uint64)
+    h = A.mix(np.ndarray((len(x) - 7,), "<u8", x.tobytes(), strides=(1,)) ^ A.SEEDS[0])
+    size = 8
     while size < q:
-        h = A.pair_names(h[:-size], h[size:], size) if len(h) > size else h[:0]
+        h = A.pair_names(h[:-size], h[size:], size)
         size *= 2
     return h
 
 
 def named_places(x: np.ndarray, off: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Groups of consecutive strings that name one q-gram: name, first and last string's start, document."""
-    names, firsts, lasts, docs = [], [], [], []
-    for a in range(0, max(len(x) - length + 1, 0), A.SLICE):
-        b = min(len(x), a + A.SLICE + length - 1)  # strings that start in the slice
+    """Groups of consecutive strings that name one q-gram: name, first and last string's start, document.
+
+    A slice is short enough for the processor's cache, and for a place in it to go under the 48 bits of a name that are compared.
+    """
+    width, size = length - q + 1, min(A.SLICE, PLACES)
+    cuts = np.unique(np.concatenate([off[:-1], np.maximum(off[1:] - length + 1, off[:-1])]))  # from where on strings are in a document, and no more
+    names, firsts, lasts = [], [], []
+    for a in range(0, max(len(x) - length + 1, 0), size):
+        b = min(len(x), a + size + length - 1)  # strings that start in the slice
         h = gram_names(x[a:b], q)
-        step = A.sliding_argmin(h, length - q + 1)
-        n = len(step)
-        start = np.arange(n)
-        place = start + step
-        doc = A.owner(off, start + a)
-        inside = start + a + length <= off[doc + 1]
+        low, reach = (h & SHORT) | np.arange(len(h), dtype=np.uint64), 1
+        while reach < width:  # the leftmost least of each string's q-grams
+            step = min(reach, width - reach)
+            low = np.minimum(low[step:], low[:-step])
+            reach += step
+        n = len(low)
         head = np.ones(n, bool)
-        head[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]) | (inside[1:] != inside[:-1])
+        head[1:] = low[1:] != low[:-1]
+        head[cuts[np.searchsorted(cuts, a) : np.searchsorted(cuts, a + n)] - a] = True
         at = np.flatnonzero(head)
-        last = np.append(at[1:], n) - 1
-        ok = inside[at]
-        names.append(h[place[at[ok]]])
-        firsts.append(at[ok] + a)
-        lasts.append(last[ok] + a)
-        docs.append(doc[at[ok]])
+        names.append(h[(low[at] & ~SHORT).astype(np.int64)])
+        firsts.append(at + a)
+        lasts.append(np.append(at[1:], n) - 1 + a)
     if not names:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, z
-    return tuple(np.concatenate(c) for c in (names, firsts, lasts, docs))  # type: ignore[return-value]
+    name, first, last = (np.concatenate(c) for c in (names, firsts, lasts))
+    doc = A.owner(off, first)
+    ok = first + length <= off[doc + 1]
+    return name[ok], first[ok], last[ok], doc[ok]
 
 
 def _grams(unit: pa.Table):

@@ -7,6 +7,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -805,6 +806,38 @@ def test_named_places_cover_every_string(monkeypatch):
                 assert by.setdefault(bytes(x[s : s + 50]), n) == n
 
 
+def test_naming_of_places_is_cheap_and_the_same_in_any_slices(monkeypatch):
+    """CPU against naming by doubling from single bytes over a whole slice, with a choice of the least beside it."""
+    r = np.random.default_rng(5)
+    texts = [bytes(r.integers(97, 101, n, np.uint8)).decode() for n in (0, 70_000, 49, 50, 3, 600_000, 51, 400_000)]
+    x, off = A.text_bytes(pa.array(texts))
+
+    def doubled():
+        h, size = A.BYTES[x], 1
+        while size < 32:
+            h, size = A.pair_names(h[:-size], h[size:], size), 2 * size
+        return A.sliding_argmin(h, 19)
+
+    def seconds(f):
+        took = []
+        for _ in range(3):
+            t = time.thread_time()
+            f()
+            took.append(time.thread_time() - t)
+        return min(took)
+
+    assert seconds(lambda: suffix_dedup.named_places(x, off)) < 0.6 * seconds(doubled)
+    spelt = []
+    for places in (1 << 15, 1000):
+        monkeypatch.setattr(suffix_dedup, "PLACES", places)
+        name, first, last, doc = suffix_dedup.named_places(x, off)
+        n = last - first + 1
+        start = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        spelt.append((start, np.repeat(name, n), np.repeat(doc, n)))
+    assert all((a == b).all() for a, b in zip(*spelt))
+    assert len(spelt[0][0]) == sum(max(0, len(t) - 49) for t in texts)
+
+
 def test_trim_changes_texts(spark):
     p = "this passage is long enough to be found twice in the corpus, surely. "
     docs = plain(spark, [(1, p + "one"), (2, "two " + p), (3, None), (4, p + "one")])
