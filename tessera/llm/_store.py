@@ -85,7 +85,7 @@ def checkpoint(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it: it cuts lineage and outlives lost executors.
 
     rows: about how many it has at most. Then its files follow from that, not from the partitions that the plan ends in: on a local
-    folder each file costs an executor several processes (chmod), and each of them is a copy of the JVM until it starts.
+    folder each file costs an executor several processes (chmod), and each of them shares the pages of the JVM until it runs.
     """
     spark = df.sparkSession
     if rows is not None:
